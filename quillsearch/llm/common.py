@@ -171,3 +171,104 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         elif b > a:
             out.append((a, b))
     return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables in which each group of rows with one key is complete, from rows sorted by key."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(k, k[-1], side="left"))
+        if last == 0 and kept and kept[-1].column(key)[kept[-1].num_rows - 1].as_py() == k[-1]:
+            kept.append(batch)  # all of it belongs to the group that is open
+            continue
+        if kept or last:
+            yield pa.Table.from_batches([*kept, batch.slice(0, last)] if last else kept)
+        kept = [batch.slice(last)]
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+#: Groups of up to so many members are compared pair by pair, all groups at once; larger ones one member after another.
+SMALL_GROUP = 24
+
+
+def links(key: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers that connect what `alike` connects in each run of equal keys, as all alike pairs would. alike(i, j) takes arrays of row numbers that broadcast, and gives booleans."""
+    n = len(key)
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    sizes = np.diff(edge)
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    small = (sizes > 1) & (sizes <= SMALL_GROUP)
+    end = np.repeat(np.where(small, edge[1:], 0), sizes)
+    at = np.flatnonzero(end > np.arange(n) + 1)
+    d = 1
+    while len(at):
+        for lo in range(0, len(at), 1 << 18):
+            part = at[lo : lo + (1 << 18)]
+            hit = part[alike(part, part + d)]
+            left.append(hit)
+            right.append(hit + d)
+        d += 1
+        at = at[at + d < end[at]]
+    for g in np.flatnonzero(sizes > SMALL_GROUP).tolist():
+        a, b = reach(np.arange(edge[g], edge[g + 1]), alike)
+        left.append(a)
+        right.append(b)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def reach(rest: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph that `alike` gives on the row numbers `rest`: each row is compared once with all that aren't reached yet."""
+    left: list[int] = []
+    right: list[int] = []
+    while len(rest):
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            i = front.pop()
+            hit = alike(np.int64(i), rest)
+            if hit.any():
+                new = rest[hit].tolist()
+                left += [i] * len(new)
+                right += new
+                front += new
+                rest = rest[~hit]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def labels_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row number that the edges connect it with."""
+    label = np.arange(n)
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        before = label.copy()
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        np.minimum.at(label, before[left], low)
+        np.minimum.at(label, before[right], low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    return label
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of the edges (a, b): root is the smallest node it is connected with. Large-star and small-star rounds, each cut from its lineage; a round sends every edge a fixed number of times."""
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
+    while True:
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = large.join(low, "a")
+        e = cut(joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == mark:
+            break
+        mark = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .near import op9_near_duplicates
 from .secrets import op1_secret_scan
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op9_near_duplicates)}
 ORACLES: dict[str, str] = {}
