@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -272,3 +273,13 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         mark = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder of checkpoints, of which later reads take the columns they need."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

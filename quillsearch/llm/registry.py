@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .lines import op6_line_dedup
 from .near import op9_near_duplicates
 from .secrets import op1_secret_scan
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op6_line_dedup, op9_near_duplicates)}
 ORACLES: dict[str, str] = {}
