@@ -5,8 +5,9 @@ from __future__ import annotations
 from .decontaminate import op10_decontaminate
 from .lines import op6_line_dedup
 from .near import op9_near_duplicates
+from .pieces import op8_sentencepiece
 from .secrets import op1_secret_scan
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op6_line_dedup, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op6_line_dedup, op8_sentencepiece, op9_near_duplicates, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
