@@ -16,9 +16,8 @@ from .common import raw_bytes, slices, span_hashes, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The space that pieces have.
 MARK = "▁"
-#: Segments whose encoding a Python worker keeps.
-MOST_KEPT = 2_000_000
-NEVER = float("inf")
+#: Segments whose encoding, and pairs of pieces whose fit, a Python worker keeps.
+MOST_KEPT = 400_000
 
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean"
 
@@ -51,7 +50,7 @@ class Transducer:
     """The normaliser, the pieces and the byte fallback of a model, compiled to arcs.
 
     A state of the composition with an input is a position and the piece that ends there. An arc reads one piece's characters and
-    writes its id; it weighs one, or infinity if the model's merges would never leave these two pieces side by side (which depends
+    writes its id; it weighs one, or infinity (no arc) if the model's merges would never leave these two pieces side by side (which depends
     on the two alone). So the path of least weight is the one that the merges give. A character that no piece has is read by an arc
     that writes the ids of its bytes.
     """
@@ -89,8 +88,13 @@ class Transducer:
             raise ValueError("a piece has a space inside")
         self.longest = max(map(len, self.id))
         self.breaks = not any("\n" in p for p in self.id)
-        self.kept: dict[bytes, list[int]] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
+        #: Pieces that the merges can leave; for each two characters, the length of the longest of them that begins so.
+        self.alone = {p for p in self.id if self.merge(p) == [p]}
+        self.reach: dict[str, int] = {}
+        for p in self.alone:
+            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+        self.kept: dict[bytes, bytes] = {}
+        self._fits: dict[str, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces by the model's merges: the best-scored pair first, of equals the leftmost."""
@@ -107,49 +111,57 @@ class Transducer:
         return parts
 
     def fits(self, a: str, b: str) -> bool:
-        """Whether two pieces can stand side by side in what the merges give; with a == '', whether b alone can."""
-        key = (a, b)
-        hit = self._fits.get(key)
-        if hit is None:
-            hit = self._fits[key] = self.merge(a + b) == ([a, b] if a else [b])
-        return hit
+        """Whether two pieces can stand side by side in what the merges give."""
+        return self.merge(a + b) == [a, b]
 
     def path(self, text: str) -> list[str]:
-        """The shortest path by position: for each piece that can end there, the least weight and the piece before it."""
+        """The shortest path. What the merges give for a beginning of the text has one last piece, so that one state lives at each position."""
         n = len(text)
-        ends: list[dict[str, tuple[float, str]]] = [{"": (0.0, "")}] + [{} for _ in range(n)]
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+        last: list[str | None] = [None] * (n + 1)
+        last[0] = ""
+        alone, known, fits = self.alone, self._fits, self.fits
+        for i in range(n):
+            before = last[i]
+            if before is None:
+                continue
+            reach = self.reach.get(text[i : i + 2], 1)
+            for j in range(i + 1, min(i + reach, n) + 1):
                 piece = text[i:j]
-                if not ends[i] or (j - i > 1 and piece not in self.id) or not self.fits("", piece):
-                    continue
-                for before, (weight, _) in ends[i].items():
-                    if (not before or self.fits(before, piece)) and weight + 1 < ends[j].get(piece, (NEVER, ""))[0]:
-                        ends[j][piece] = (weight + 1, before)
-        out: list[str] = []
-        j, piece = n, min(ends[n], key=lambda p: ends[n][p][0], default="")
-        if n and not piece:
+                if last[j] is None and (piece in alone or j == i + 1):
+                    if before:
+                        key = before + "\n" + piece
+                        ok = known.get(key)
+                        if ok is None:
+                            if len(known) >= MOST_KEPT:
+                                known.clear()
+                            ok = known[key] = fits(before, piece)
+                        if not ok:
+                            continue
+                    last[j] = piece
+        if last[n] is None:
             return self.merge(text)
+        out: list[str] = []
+        j = n
         while j:
-            out.append(piece)
-            piece, j = ends[j][piece][1], j - len(piece)
+            out.append(last[j])
+            j -= len(last[j])
         return out[::-1]
 
-    def segment(self, data: bytes) -> list[int]:
+    def segment(self, data: bytes) -> bytes:
         """The ids of a segment: spaces and what follows up to the next space or line break, or a line break."""
-        ids = self.kept.get(data)
-        if ids is None:
+        found = self.kept.get(data)
+        if found is None:
             text = data.decode().replace(" ", MARK)
             # A run of spaces has equal scores for all its lengths, so that only the merges' own order tells.
             parts = self.merge_long(text) if text.startswith(MARK * 2) or len(text) > 4096 else self.path(text)
-            ids = []
+            ids: list[int] = []
             for p in parts:
                 k = self.id.get(p)
                 ids += [k] if k is not None else [self.bytes[c] for c in p.encode()]
             if len(self.kept) >= MOST_KEPT:
                 self.kept.clear()
-            self.kept[data] = ids
-        return ids
+            found = self.kept[data] = np.array(ids, np.int32).tobytes()
+        return found
 
     def merge_long(self, text: str) -> list[str]:
         """As merge, by a heap of pairs."""
@@ -223,8 +235,8 @@ def encode_all(t: Transducer, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
     distinct, index, which = np.unique(h, return_index=True, return_inverse=True)
     data = raw.tobytes()
     known = [t.segment(data[a:b]) for a, b in zip(starts[index].tolist(), ends[index].tolist())]
-    sizes = np.fromiter(map(len, known), np.int64, len(known))
-    flat = np.fromiter((k for x in known for k in x), np.int32, int(sizes.sum()))
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    flat = np.frombuffer(b"".join(known), np.int32)
     base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     ids = _take(flat, base[which], sizes[which]) if len(which) else np.empty(0, np.int32)
     total = np.concatenate([[0], np.cumsum(sizes[which])]) if len(which) else np.zeros(1, np.int64)
