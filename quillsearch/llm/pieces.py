@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -86,13 +87,22 @@ class Transducer:
             raise ValueError("only BPE models with byte fallback and the identity normaliser are supported")
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece has a space inside")
-        self.longest = max(map(len, self.id))
-        self.breaks = not any("\n" in p for p in self.id)
-        #: Pieces that the merges can leave; for each two characters, the length of the longest of them that begins so.
-        self.alone = {p for p in self.id if self.merge(p) == [p]}
-        self.reach: dict[str, int] = {}
-        for p in self.alone:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+        #: The pieces that the merges can leave, by their characters; "" marks a piece's end.
+        self.trie: dict = {}
+        #: For each two bytes, whether a piece has them side by side, in one character or in two. No merge goes over others.
+        self.inside = np.zeros((256, 256), bool)
+        for p in self.id:
+            if len(p) == 1 or self.merge(p) == [p]:
+                node = self.trie
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[""] = {}
+            b = p.replace(MARK, " ").encode()
+            for x, y in zip(b, b[1:]):
+                self.inside[x, y] = True
+        self.inside[:, 0x80:0xC0] = True
+        self.inside[0x81, 32] = self.inside[32, 0xE2] = self.inside[0x81, 0xE2] = True  # U+2581 reads as a space
+        self.inside[0x81] |= self.inside[32]
         self.kept: dict[bytes, bytes] = {}
         self._fits: dict[str, bool] = {}
 
@@ -115,40 +125,51 @@ class Transducer:
         return self.merge(a + b) == [a, b]
 
     def path(self, text: str) -> list[str]:
-        """The shortest path. What the merges give for a beginning of the text has one last piece, so that one state lives at each position."""
+        """The shortest path: arcs are tried from the longest on. What the merges give for a beginning of the text has one last piece, so that one state lives at each position, and a position from which there is no way on is dead for all."""
         n = len(text)
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        alone, known, fits = self.alone, self._fits, self.fits
-        for i in range(n):
-            before = last[i]
-            if before is None:
-                continue
-            reach = self.reach.get(text[i : i + 2], 1)
-            for j in range(i + 1, min(i + reach, n) + 1):
-                piece = text[i:j]
-                if last[j] is None and (piece in alone or j == i + 1):
-                    if before:
-                        key = before + "\n" + piece
-                        ok = known.get(key)
-                        if ok is None:
-                            if len(known) >= MOST_KEPT:
-                                known.clear()
-                            ok = known[key] = fits(before, piece)
-                        if not ok:
-                            continue
-                    last[j] = piece
-        if last[n] is None:
-            return self.merge(text)
+        known, root = self._fits, self.trie
         out: list[str] = []
-        j = n
-        while j:
-            out.append(last[j])
-            j -= len(last[j])
-        return out[::-1]
+        dead: set[int] = set()
+        arcs: list[list[int]] = []
+        at, before = 0, ""
+        while at < n:
+            if len(arcs) == len(out):  # a new state
+                node, k, ends = root.get(text[at]), at + 1, [at + 1]
+                while node is not None and k < n:
+                    node = node.get(text[k])
+                    k += 1
+                    if node is not None and "" in node:
+                        ends.append(k)
+                arcs.append(ends)
+            ends = arcs[-1]
+            while ends:
+                end = ends.pop()
+                if end in dead:
+                    continue
+                piece = text[at:end]
+                if before:
+                    key = before + "\n" + piece
+                    ok = known.get(key)
+                    if ok is None:
+                        if len(known) >= MOST_KEPT:
+                            known.clear()
+                        ok = known[key] = self.fits(before, piece)
+                    if not ok:
+                        continue
+                out.append(piece)
+                at, before = end, piece
+                break
+            else:
+                if not out:
+                    return self.merge(text)
+                dead.add(at)
+                arcs.pop()
+                at -= len(out.pop())
+                before = out[-1] if out else ""
+        return out
 
     def segment(self, data: bytes) -> bytes:
-        """The ids of a segment: spaces and what follows up to the next space or line break, or a line break."""
+        """The ids of a segment, which no merge goes into or out of."""
         found = self.kept.get(data)
         if found is None:
             text = data.decode().replace(" ", MARK)
@@ -160,7 +181,7 @@ class Transducer:
                 ids += [k] if k is not None else [self.bytes[c] for c in p.encode()]
             if len(self.kept) >= MOST_KEPT:
                 self.kept.clear()
-            found = self.kept[data] = np.array(ids, np.int32).tobytes()
+            found = self.kept[data] = array("i", ids).tobytes()
         return found
 
     def merge_long(self, text: str) -> list[str]:
@@ -215,20 +236,10 @@ def encode_all(t: Transducer, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
     if t.dummy_prefix:
         column = pc.if_else(pc.equal(column, ""), column, pc.binary_join_element_wise("", column, " "))
     raw, offsets = raw_bytes(column)
-    space = raw == 32
     head = np.zeros(len(raw) + 1, bool)
     head[offsets] = True
     if len(raw):
-        head[:-1] |= space & np.concatenate([[True], ~space[:-1]])
-        if t.breaks:
-            nl = np.flatnonzero(raw == 10)
-            head[nl] = head[nl + 1] = True
-    # U+2581 itself reads as a space, and so begins a segment
-    mark = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)) if len(raw) > 2 else np.empty(0, np.int64)
-    head[mark[(mark == 0) | ~(space[mark - 1] | np.isin(mark - 3, mark))]] = True
-    for m in mark.tolist():  # spaces right behind one belong to its run
-        if m + 3 < len(raw) and space[m + 3] and not np.any(offsets == m + 3):
-            head[m + 3] = False
+        head[1:-1] |= ~t.inside[raw[:-1], raw[1:]]
     bounds = np.flatnonzero(head)
     starts, ends = bounds[:-1], bounds[1:]
     h = span_hashes(raw, starts, ends)
