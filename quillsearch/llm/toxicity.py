@@ -132,21 +132,31 @@ def learn(texts: list[str], toxic: list[bool]) -> Lexicon:
     plain = base()
     if not n_t or not n_c:
         return plain
-    in_toxic: dict[str, list[int]] = defaultdict(list)
-    in_clean: Counter[str] = Counter()
     lo, hi = STEM
-    for i, (text, bad) in enumerate(zip(texts, toxic)):
+    least = max(5, SUPPORT * n_t)
+
+    def patterns(text: str) -> set[str]:
         own: set[str] = set()
         for w in set(folded(text).split()):
             if len(w) >= lo:
                 own.add(f" {w} ")
                 own.update(f" {w[:k]}" for k in range(lo, min(hi, len(w)) + 1))
+        return own
+
+    often: Counter[str] = Counter()
+    for text, bad in zip(texts, toxic):
+        if bad:
+            often.update(patterns(text))
+    often = Counter({p: n for p, n in often.items() if n >= least})
+    in_toxic: dict[str, list[int]] = defaultdict(list)
+    in_clean: Counter[str] = Counter()
+    for i, (text, bad) in enumerate(zip(texts, toxic)):
+        own = patterns(text) & often.keys()  # of what is rare in toxic texts, nothing is kept
         if bad:
             for p in own:
                 in_toxic[p].append(i)
         else:
             in_clean.update(own)
-    least = max(5, SUPPORT * n_t)
     found = []
     for p, docs in in_toxic.items():
         if len(docs) >= least:
