@@ -17,7 +17,7 @@ from .common import slices, table
 #: Characters a gram, of 16 bits each in one 64-bit number. The counts of shorter grams follow from those of whole ones.
 ORDER = 4
 #: Rejection is calibrated on at most so many documents of each language, in the order of a hash of doc_id.
-CALIBRATION_DOCS = 1500
+CALIBRATION_DOCS = 500
 #: A text is rejected if its cross-entropy is above that of nearly all (QUANTILE) documents of its language, by more than MARGIN bits a character; SPREAD standard errors are allowed for a text's length.
 QUANTILE, MARGIN, SPREAD = 0.995, 0.25, 3.0
 
@@ -159,18 +159,29 @@ def entropies(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return total / np.maximum(n, 1)[:, None], n
 
 
-def calibrate(models: Models, texts: list[str], langs: list[str]) -> None:
-    """Sets the limits by documents of known language; a language with fewer than 20 rejects nothing."""
-    h, n = entropies(models, pa.array(texts, pa.large_string()))
-    for k, name in enumerate(models.names):
-        own = np.array([x == name for x in langs], bool) & (n > 0)
-        if own.sum() < 20:
-            continue
-        key, _ = grams(pa.array([t for t, o in zip(texts, own) if o], pa.large_string()))
-        deviation = float(models.measure(key)[:, k].std())
-        mean = float(np.median(h[own, k]))
-        rest = h[own, k] - mean - SPREAD * deviation / np.sqrt(n[own])
-        models.limits[k] = mean, deviation, max(0.0, float(np.quantile(rest, QUANTILE))) + MARGIN
+def calibrate(models: Models, sample: pa.Table) -> None:
+    """Sets the limits by documents (text, lang) of known language; a language with fewer than 20 rejects nothing."""
+    h: list[list[float]] = [[] for _ in models.names]
+    n: list[list[int]] = [[] for _ in models.names]
+    total, square = np.zeros(len(models.names)), np.zeros(len(models.names))
+    place = {x: k for k, x in enumerate(models.names)}
+    for batch in slices(iter(sample.to_batches()), most=500_000):
+        key, before = grams(batch.column("text"))
+        bits = models.measure(key)
+        for d, name in enumerate(batch.column("lang").to_pylist()):
+            k, own = place[name], bits[before[d] : before[d + 1], place[name]].astype(np.float64)
+            if len(own):
+                h[k].append(own.mean())
+                n[k].append(len(own))
+                total[k] += own.sum()
+                square[k] += (own**2).sum()
+    for k in range(len(models.names)):
+        if len(h[k]) >= 20:
+            size, count = np.array(n[k]), sum(n[k])
+            deviation = float(np.sqrt(max(0.0, square[k] / count - (total[k] / count) ** 2)))
+            mean = float(np.median(h[k]))
+            rest = np.array(h[k]) - mean - SPREAD * deviation / np.sqrt(size)
+            models.limits[k] = mean, deviation, max(0.0, float(np.quantile(rest, QUANTILE))) + MARGIN
 
 
 def fit(docs: DataFrame) -> Models:
@@ -180,12 +191,14 @@ def fit(docs: DataFrame) -> Models:
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     found = known.select("text", "lang").mapInArrow(_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, key, n = np.array(found["lang"].to_pylist(), object), found["gram"].to_numpy().view(_U), found["n"].to_numpy()
-    models = train({x: (key[lang == x], n[lang == x]) for x in set(lang.tolist())})
+    key, n = found["gram"].to_numpy().view(_U), found["n"].to_numpy()
+    names = sorted(pc.unique(found["lang"]).to_pylist())
+    lang = pc.index_in(found["lang"], pa.array(names, pa.string())).to_numpy()
+    models = train({x: (key[lang == k], n[lang == k]) for k, x in enumerate(names)})
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= CALIBRATION_DOCS).select("doc_id", "lang").distinct()
     sample = known.join(some, ["doc_id", "lang"]).select("text", "lang", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    calibrate(models, sample["text"].to_pylist(), sample["lang"].to_pylist())
+    calibrate(models, sample)
     return models
 
 
