@@ -62,8 +62,17 @@ def folds() -> np.ndarray:
     return t
 
 
+def fold(points: np.ndarray) -> np.ndarray:
+    """An exclamation mark is a letter only before another letter."""
+    out = folds()[points]
+    mark = np.flatnonzero(points == 33)
+    after = np.append(points, 32)[mark + 1]
+    out[mark[(after == 33) | (folds()[after] == 32)]] = 32
+    return out
+
+
 def folded(text: str) -> str:
-    return string(folds()[codes(text)])
+    return string(fold(codes(text)))
 
 
 @dataclass(frozen=True)
@@ -97,7 +106,7 @@ def measure(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
     flat = codes(" " + "  ".join(texts) + " ")
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     begin = np.concatenate([[1], 1 + np.cumsum(sizes + 2)])[:-1] if len(texts) else np.empty(0, np.int64)
-    points = folds()[flat]
+    points = fold(flat)
     letter = points != 32
     heads = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
     n_words = np.bincount(np.searchsorted(begin, heads, side="right") - 1, minlength=len(texts)) if len(heads) else np.zeros(len(texts), np.int64)
