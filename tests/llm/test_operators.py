@@ -268,7 +268,8 @@ def test_line_groups_against_brute_force(spark):
     rng.shuffle(texts)
     rows = [(i, "\n".join(texts[k : k + 3])) for i, k in enumerate(range(0, len(texts), 3))]
     flat = [(i, n, line) for i, t in rows for n, line in enumerate(t.split("\n"))]
-    alike = [(x, y) for x, y in itertools.combinations(range(len(flat)), 2) if levenshtein(flat[x][2], flat[y][2]) <= 0.1 * max(len(flat[x][2]), len(flat[y][2])) + 1e-9]
+    most = lambda x, y: int(0.1 * max(len(flat[x][2]), len(flat[y][2])) + 1e-9)
+    alike = [(x, y) for x, y in itertools.combinations(range(len(flat)), 2) if lines.distance(flat[x][2], flat[y][2], most(x, y)) <= most(x, y)]
     root = list(range(len(flat)))
     for x, y in alike:  # in order, so that the root is the first
         a, b = root[x], root[y]
