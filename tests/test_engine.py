@@ -121,7 +121,7 @@ def test_one_field_models_agree(sounds):
 
 def test_layered(spark):
     rows = [(1, "quack"), (2, "quark"), (3, "the theme noisy"), (4, "blackbirds sing 12345"), (5, "other text")]
-    index = FtsIndex.build(spark.createDataFrame(rows, "id int, body string"), "id", "body", **PLAIN)
+    index = FtsIndex.build(spark.createDataFrame(rows, "id int, body string"), "id", "body", ignore="[.,]+", **PLAIN)
     wide = {"max_df_ratio": 1.0}
     assert set(got(layered_scores(index, "quak", **wide))) == {1, 2}
     assert set(got(layered_scores(index, "bird", **wide))) == {4}
