@@ -193,11 +193,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 
 #: Groups of up to so many members are compared pair by pair, all groups at once; larger ones one member after another.
-SMALL_GROUP = 24
+SMALL_GROUP = 512
 
 
 def links(key: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers that connect what `alike` connects in each run of equal keys, as all alike pairs would. alike(i, j) takes arrays of row numbers that broadcast, and gives booleans."""
+    """Pairs of row numbers that connect what `alike` connects in each run of equal keys, as all alike pairs would. alike(i, j) takes slices or arrays of row numbers that broadcast, and gives booleans."""
     n = len(key)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     sizes = np.diff(edge)
@@ -208,9 +208,11 @@ def links(key: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(end > np.arange(n) + 1)
     d = 1
     while len(at):
-        for lo in range(0, len(at), 1 << 18):
-            part = at[lo : lo + (1 << 18)]
-            hit = part[alike(part, part + d)]
+        if 2 * len(at) > n - d:  # most rows have a partner at this distance: compared without gathering them
+            found = [at[alike(slice(0, n - d), slice(d, n))[at]]]
+        else:
+            found = [part[alike(part, part + d)] for part in (at[lo : lo + (1 << 18)] for lo in range(0, len(at), 1 << 18))]
+        for hit in found:
             left.append(hit)
             right.append(hit + d)
         d += 1
@@ -220,7 +222,9 @@ def links(key: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
         left.append(a)
         right.append(b)
     none = np.empty(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    label = labels_of(n, np.concatenate([none, *left]), np.concatenate([none, *right]))
+    right_end = np.flatnonzero(label != np.arange(n))
+    return label[right_end], right_end  # each row with the first of its component
 
 
 def reach(rest: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
