@@ -264,3 +264,199 @@ def spanish(w: str) -> str:
 
 
 STEMMERS: dict[str, Callable[[str], str]] = {"english": english, "german": german, "russian": russian, "spanish": spanish}
+
+
+def _suffix(w: str, r1: int, endings) -> str:
+    return max((s for s in endings if w.endswith(s) and len(w) - len(s) >= r1), key=len, default="")
+
+
+def _north(w: str, vowels: set[str]) -> int:
+    return max(3, _region(w, vowels))
+
+
+def swedish(w: str) -> str:
+    r1 = _north(w, set("aeiouyäåö"))
+    s = _suffix(w, r1, "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast s".split())
+    if s == "s":
+        w = w[:-1] if w[:-1].endswith(tuple("bcdfghjklmnoprtvy")) else w
+    elif s:
+        w = w[: -len(s)]
+    if _suffix(w, r1, ("dd", "gd", "nn", "dt", "gt", "kt", "tt")):
+        w = w[:-1]
+    s = _suffix(w, r1, ("lig", "ig", "els", "löst", "fullt"))
+    return w[:-1] if s in ("löst", "fullt") else w[: -len(s)] if s else w
+
+
+def norwegian(w: str) -> str:
+    v = set("aeiouyæåø")
+    r1 = _north(w, v)
+    s = _suffix(w, r1, "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast s erte ert".split())
+    if s == "s":
+        before = w[:-1]
+        w = before if before.endswith(tuple("bcdfghjlmnoprtvyz")) or before.endswith("k") and before[-2:-1] not in v else w
+    elif s in ("erte", "ert"):
+        w = w[: -len(s)] + "er"
+    elif s:
+        w = w[: -len(s)]
+    if _suffix(w, r1, ("dt", "vt")):
+        w = w[:-1]
+    s = _suffix(w, r1, "leg eleg ig eig lig elig els lov elov slov hetslov".split())
+    return w[: -len(s)] if s else w
+
+
+def danish(w: str) -> str:
+    r1 = _north(w, set("aeiouyæåø"))
+    s = _suffix(w, r1, "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret s".split())
+    if s == "s":
+        w = w[:-1] if w[:-1].endswith(tuple("abcdfghjklmnoprtvyzå")) else w
+    elif s:
+        w = w[: -len(s)]
+
+    def ends_twice(w: str) -> str:
+        return w[:-1] if _suffix(w, r1, ("gd", "dt", "gt", "kt")) else w
+
+    w = ends_twice(w)
+    if w.endswith("igst"):
+        w = w[:-2]
+    s = _suffix(w, r1, ("ig", "lig", "elig", "els", "løst"))
+    if s == "løst":
+        w = w[:-1]
+    elif s:
+        w = ends_twice(w[: -len(s)])
+    if len(w) > r1 and w[-1:] == w[-2:-1] and w[-1] not in "aeiouyæåø":
+        w = w[:-1]
+    return w
+
+
+STEMMERS |= {"swedish": swedish, "norwegian": norwegian, "danish": danish}
+
+
+_FRENCH_VOWELS = set("aeiouyâàëéêèïîôûù")
+_FRENCH_1 = (
+    "ance iqUe isme able iste eux ances iqUes ismes ables istes atrice ateur ation atrices ateurs ations logie logies usion ution usions utions ence ences ement ements ité ités if ive ifs ives eaux aux "
+    "euse euses issement issements amment emment ment ments"
+).split()
+_FRENCH_2A = "îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait issant issante issantes issants isse issent isses issez issiez issions issons it".split()
+_FRENCH_2B = "ions é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez".split()
+_FRENCH_2C = "âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions".split()
+
+
+def _french_marked(w: str) -> str:
+    out = list(w)
+    v = _FRENCH_VOWELS
+    for i, c in enumerate(w):
+        before, after = w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""
+        if c in "ui" and before in v and after in v and before and after or c == "u" and before == "q":
+            out[i] = c.upper()
+        elif c == "y" and (before and before in v or after and after in v):
+            out[i] = "Y"
+    return "".join(out)
+
+
+def french(word: str) -> str:
+    v = _FRENCH_VOWELS
+    w = _french_marked(word)
+    if len(w) > 1 and w[0] in v and w[1] in v or w.startswith(("par", "col", "tap")):
+        rv = 3
+    else:
+        rv = next((i + 1 for i in range(1, len(w)) if w[i] in v), len(w))
+    r1 = _region(w, v)
+    r2 = _region(w, v, r1) if r1 < len(w) else len(w)
+
+    def drop(endings: dict[str, str]) -> None:
+        """Takes an ending off if it is in R2; if not, puts what is given in its place."""
+        nonlocal w
+        s = _longest(w, endings)
+        if s:
+            w = w[: -len(s)] if len(w) - len(s) >= r2 else w[: -len(s)] + endings[s]
+
+    begun, again = w, False
+    s = _longest(w, _FRENCH_1)
+    at = len(w) - len(s)
+    if s in ("atrice", "ateur", "ation", "atrices", "ateurs", "ations"):
+        if at >= r2:
+            w = w[:at]
+            drop({"ic": "iqU"})
+    elif s in ("logie", "logies"):
+        w = w[:at] + "log" if at >= r2 else w
+    elif s in ("usion", "ution", "usions", "utions"):
+        w = w[:at] + "u" if at >= r2 else w
+    elif s in ("ence", "ences"):
+        w = w[:at] + "ent" if at >= r2 else w
+    elif s in ("ement", "ements"):
+        if at >= rv:
+            w = w[:at]
+            if w.endswith("iv"):
+                if len(w) - 2 >= r2:
+                    w = w[:-2]
+                    drop({"at": "at"})
+            elif w.endswith("eus"):
+                w = w[:-3] if len(w) - 3 >= r2 else w[:-1] + "x" if len(w) - 3 >= r1 else w
+            elif w.endswith(("abl", "iqU")):
+                w = w[:-3] if len(w) - 3 >= r2 else w
+            elif w.endswith(("ièr", "Ièr")) and len(w) - 3 >= rv:
+                w = w[:-3] + "i"
+    elif s in ("ité", "ités"):
+        if at >= r2:
+            w = w[:at]
+            drop({"abil": "abl", "ic": "iqU", "iv": "iv"})
+    elif s in ("if", "ive", "ifs", "ives"):
+        if at >= r2:
+            w = w[:at]
+            if w.endswith("at") and len(w) - 2 >= r2:
+                w = w[:-2]
+                drop({"ic": "iqU"})
+    elif s == "eaux":
+        w = w[:-1]
+    elif s == "aux":
+        w = w[:at] + "al" if at >= r1 else w
+    elif s in ("euse", "euses"):
+        w = w[:at] if at >= r2 else w[:at] + "eux" if at >= r1 else w
+    elif s in ("issement", "issements"):
+        w = w[:at] if at >= r1 and at and w[at - 1] not in v else w
+    elif s in ("amment", "emment"):
+        if at >= rv:
+            w, again = w[:at] + ("ant" if s == "amment" else "ent"), True
+    elif s in ("ment", "ments"):
+        if at - 1 >= rv and w[at - 1] in v:
+            w, again = w[:at], True
+    elif s and at >= r2:
+        w = w[:at]
+    changed = w != begun
+    if not changed or again:
+        before = w
+        s = _suffix(w, rv, _FRENCH_2A)
+        if s and len(w) - len(s) - 1 >= rv and w[len(w) - len(s) - 1] not in v:
+            w = w[: -len(s)]
+        if w == before:
+            s = _suffix(w, rv, _FRENCH_2B + _FRENCH_2C)
+            if s == "ions":
+                w = w[:-4] if len(w) - 4 >= r2 else w
+            elif s:
+                w = w[: -len(s)]
+                if s in _FRENCH_2C and w.endswith("e") and len(w) - 1 >= rv:
+                    w = w[:-1]
+        changed = changed or w != before
+    if changed:
+        w = w[:-1] + "i" if w.endswith("Y") else w[:-1] + "c" if w.endswith("ç") else w
+    else:
+        if len(w) > 1 and w.endswith("s") and w[-2] not in "aiouès":
+            w = w[:-1]
+        s = _suffix(w, rv, ("ion", "ier", "ière", "Ier", "Ière", "e"))
+        if s == "ion":
+            w = w[:-3] if len(w) - 3 >= r2 and w[-4] in "st" and len(w) - 4 >= rv else w
+        elif s == "e":
+            w = w[:-1]
+        elif s:
+            w = w[: -len(s)] + "i"
+    if w.endswith(("enn", "onn", "ett", "ell", "eill")):
+        w = w[:-1]
+    i = len(w)
+    while i and w[i - 1] not in v:
+        i -= 1
+    if 0 < i < len(w) and w[i - 1] in "éè":
+        w = w[: i - 1] + "e" + w[i:]
+    return w.lower()
+
+
+STEMMERS |= {"french": french}
