@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize",
           "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -34,6 +36,7 @@ def _longest(w: str, suffixes) -> str | None:
     return max((s for s in suffixes if w.endswith(s)), key=len, default=None)
 
 
+@lru_cache(maxsize=1 << 18)
 def stem(w: str) -> str:
     if len(w) <= 2:
         return w
