@@ -25,18 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder that the cluster names; only where none is named, as in tests, in a temporary one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints that the session names; only where none is named, as in tests, a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text"):
-    """A key of a row that also holds for null and repeated ids; rows equal in id and text share it."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -280,10 +280,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a Parquet table in the shared folder of checkpoints, of which later reads take the columns they need."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    """Cut lineage by a Parquet table in the shared folder, of which later reads take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import math
 import re
 from collections.abc import Iterator
 from functools import cache
