@@ -18,6 +18,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MIN_LENGTH = 16
 #: A candidate with fewer characters a token than this is a secret.
 MAX_RATIO = 2.4
+#: A run of letters with so many characters a token is a word.
+WORD_RATIO = 3.0
 #: Distinct characters at least; a run of one repeated sign is no secret.
 MIN_DISTINCT = 8
 
@@ -49,19 +51,16 @@ def _candidate_bytes() -> np.ndarray:
     return t
 
 
-def excluded(run: str, before: str) -> bool:
-    """Whether a run is a known digest or an identifier: a bare digest or UUID (unless the text before it names a credential), a number, a path or name made of words."""
+def excluded(run: str, before: str, encoding) -> bool:
+    """Whether a run is a known digest or an identifier: a bare digest or UUID (unless the text before it names a credential), a number, a path or name made of what the vocabulary knows as words."""
     if (_DIGEST.match(run) or _UUID.match(run)) and not _NAMED.search(before):
         return True
     if _SRI.match(run) or _NUMBER.match(run):
         return True
     if len(set(run)) < MIN_DISTINCT:
         return True
-    if not re.search(r"[0-9]", run):  # words joined by case, dashes or slashes; letters alone are random only if case changes a lot
-        parts = _PARTS.findall(run)
-        return sum(len(p) for p in parts if len(p) >= 3) >= 0.7 * len(run)
-    parts = _PARTS.findall(run)
-    return sum(len(p) for p in parts if len(p) >= 4 and not p.isdigit()) >= 0.6 * len(run)
+    parts = [p for p in _PARTS.findall(run) if len(p) >= 4 and not p.isdigit()]
+    return sum(len(p) for p in parts if len(p) >= WORD_RATIO * len(encoding.encode_ordinary(p))) >= 0.6 * len(run)
 
 
 def trimmed(run: str) -> tuple[int, int]:
@@ -80,7 +79,7 @@ def find(text: str, start: int, end: int, encoding, max_ratio: float = MAX_RATIO
     """The secret in the run text[start:end], as (start, end, tokens, characters a token), or None."""
     lo, hi = trimmed(text[start:end])
     value = text[start + lo : start + hi]
-    if len(value) < MIN_LENGTH or excluded(value, text[max(0, start + lo - 40) : start + lo]):
+    if len(value) < MIN_LENGTH or excluded(value, text[max(0, start + lo - 40) : start + lo], encoding):
         return None
     n = len(encoding.encode_ordinary(value))
     ratio = len(value) / n
