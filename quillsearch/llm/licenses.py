@@ -158,21 +158,34 @@ def _templates() -> tuple[list[list[int]], np.ndarray, list[list[int]]]:
 def align(text: list[int], seeds: list[int], template: list[int]) -> list[tuple[int, int, float]]:
     """First word, end and coverage of each place in a text that aligns with a template. seeds: where it has a template's seed, in order."""
     n = len(template)
-    out = []
+    out: list[tuple[int, int, float]] = []
+
+    def place(lo: int, hi: int) -> tuple[int, int, int] | None:
+        span = _dense(patience(text[lo:hi], template))
+        return (lo + span[0], lo + span[1], span[2]) if span and span[2] >= MIN_COVERAGE * n else None
+
     k = 0
     while k < len(seeds):
         m = k
         while m + 1 < len(seeds) and seeds[m + 1] - seeds[m] <= n and seeds[m + 1] - seeds[k] <= 2 * n:
             m += 1
-        lo, hi = max(0, seeds[k] - n), min(len(text), seeds[m] + SEED + n)
-        pairs = patience(text[lo:hi], template)
-        span = _dense(pairs)
-        if span and span[2] >= MIN_COVERAGE * n:
-            out.append((lo + span[0], lo + span[1], span[2] / n))
-            end = lo + span[1]
-            k = max(k + 1, bisect_left(seeds, end))
-        else:
-            k = m + 1
+        lo, hi = max(out[-1][1] if out else 0, seeds[k] - n), min(len(text), seeds[m] + SEED + n)
+        whole = place(lo, hi)
+        i = k
+        # Where the text has the template twice, no word of it is unique in the window: the seeds that the whole window's place doesn't reach are searched one by one.
+        while i <= m and seeds[i] < (whole[0] if whole else hi):
+            at, end = seeds[i], whole[0] if whole else hi
+            parts = [place(x, min(y, end)) for x, y in ((max(lo, at - n), at + n), (at, at + n), (at, at + n + n // 4)) if min(y, end) - x >= MIN_COVERAGE * n]
+            if one := max((x for x in parts if x), key=lambda x: x[2], default=None):
+                out.append((one[0], one[1], one[2] / n))
+                lo = one[1]
+                i = max(i + 1, bisect_left(seeds, lo))
+            else:
+                i += 1
+        if whole:
+            out.append((whole[0], whole[1], whole[2] / n))
+            i = max(i, bisect_left(seeds, whole[1]))
+        k = max(k + 1, i)
     return out
 
 

@@ -123,6 +123,17 @@ def test_licenses(spark):
     assert rows[3][1][slice(*found[4][0][1:])] == "Licensed under the Apache License, Version 2.0"
 
 
+def test_licenses_that_follow_one_another(spark):
+    mit = dict((k, t) for k, t in licenses.TEMPLATES if len(t) > 300)["MIT"]
+    notice = "licensed under the mit license"
+    rows = [(1, f"a b {notice} and {notice} c d"), (2, f"short file {mit} a b c {mit} end"), (3, f"x y {mit} {mit}"), (4, f"one two {notice} {notice} {notice} three"), (5, f"short {mit} {'w ' * 40} {mit} end")]
+    found = {}
+    for r in licenses.scan_licenses(docs(spark, rows)).collect():
+        found.setdefault(r["doc_id"], []).append(rows[r["doc_id"] - 1][1][r["start"] : r["end"]])
+    assert {k: len(v) for k, v in found.items()} == {1: 2, 2: 2, 3: 2, 4: 3, 5: 2}
+    assert found[1] == [notice] * 2 and found[2] == [mit] * 2
+
+
 # 3
 
 
