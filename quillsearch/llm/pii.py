@@ -32,7 +32,13 @@ _SPELLED = re.compile(rf"{_WORD}\b")
 _BETWEEN = re.compile(r"[\s,\-]+\Z")
 _LOCAL = re.compile(r"[a-z0-9._%+\-]*[a-z0-9_%+\-]\Z")
 _DOMAIN = re.compile(r"(?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+[a-z]{2,24}")
-_NUMBER = re.compile(r"(?:\+|\(\+?)?\d(?:[ .()/\-]{0,3}\d){6,24}")
+_NUMBER = re.compile(r"(?:\+|\(\+?)?\d(?:[ .()/\-]{0,3}\d){6,}")
+#: Identifiers inside a longer run of digits, at the borders of its groups.
+_INSIDE = re.compile(
+    r"(?<!\d)(?:(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6(?:011|5\d{2}))([ \-]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ \-]?)\d{6}\2\d{5}"
+    r"|(?!000|666|9)\d{3}([ \-])(?!00)\d{2}\3(?!0000)\d{4}"
+    r"|(?:\+?\d{1,3}[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4})(?!\d)"
+)
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
 _IBAN = re.compile(r"(?<![a-z0-9])[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?(?![a-z0-9])")
 _CARD = re.compile(r"(?:4\d{3}|5[1-5]\d{2}|2[2-7]\d{2}|6(?:011|5\d{2}))([ \-]?)\d{4}\1\d{4}\1\d{4}\Z|3[47]\d{2}([ \-]?)\d{6}\2\d{5}\Z")
@@ -135,7 +141,12 @@ def detect(n: Normalised) -> list[tuple[str, int, int]]:
             continue
         parts = [(a, b)]
         if not _kind(text[a:b], n.rewritten(a, b)):  # several in a row: each by itself
-            parts = [(a + w.start(), a + w.end()) for w in re.finditer(r"[^ ]+", text[a:b])]
+            parts, at = [], a
+            for w in [*_INSIDE.finditer(text, a, b), None]:
+                parts += [(at + p.start(), at + p.end()) for p in re.finditer(r"[^ /]+", text[at : w.start() if w else b])]
+                if w:
+                    parts.append(w.span())
+                    at = w.end()
         for x, y in parts:
             if kind := _kind(text[x:y], n.rewritten(x, y)):
                 found.append((x, y, kind))
