@@ -10,16 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import slices, table
+from .common import slices, table, written
 
 #: Characters a gram, of 16 bits each in one 64-bit number. The counts of shorter grams follow from those of whole ones.
 ORDER = 4
-#: Rejection is calibrated on at most so many documents of each language, in the order of a hash of doc_id.
-CALIBRATION_DOCS = 500
 #: A text is rejected if its cross-entropy is above that of nearly all (QUANTILE) documents of its language, by more than MARGIN bits a character; SPREAD standard errors are allowed for a text's length.
 QUANTILE, MARGIN, SPREAD = 0.995, 0.25, 3.0
+ACCURACY = 100_000
 
 _U = np.uint64
 _MASKS = [_U(0), _U(0xFFFF), _U(0xFFFFFFFF), _U(0xFFFFFFFFFFFF), _U(0xFFFFFFFFFFFFFFFF)]
@@ -159,29 +157,33 @@ def entropies(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return total / np.maximum(n, 1)[:, None], n
 
 
-def calibrate(models: Models, sample: pa.Table) -> None:
-    """Sets the limits by documents (text, lang) of known language; a language with fewer than 20 rejects nothing."""
-    h: list[list[float]] = [[] for _ in models.names]
-    n: list[list[int]] = [[] for _ in models.names]
-    total, square = np.zeros(len(models.names)), np.zeros(len(models.names))
+def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """For each document with letters its language, its bits a character under that language's model, their sum and sum of squares, and its grams."""
+    models: Models = shared.value
     place = {x: k for k, x in enumerate(models.names)}
-    for batch in slices(iter(sample.to_batches()), most=500_000):
+    for batch in slices(batches, most=500_000):
         key, before = grams(batch.column("text"))
         bits = models.measure(key)
-        for d, name in enumerate(batch.column("lang").to_pylist()):
-            k, own = place[name], bits[before[d] : before[d + 1], place[name]].astype(np.float64)
-            if len(own):
-                h[k].append(own.mean())
-                n[k].append(len(own))
-                total[k] += own.sum()
-                square[k] += (own**2).sum()
-    for k in range(len(models.names)):
-        if len(h[k]) >= 20:
-            size, count = np.array(n[k]), sum(n[k])
-            deviation = float(np.sqrt(max(0.0, square[k] / count - (total[k] / count) ** 2)))
-            mean = float(np.median(h[k]))
-            rest = np.array(h[k]) - mean - SPREAD * deviation / np.sqrt(size)
-            models.limits[k] = mean, deviation, max(0.0, float(np.quantile(rest, QUANTILE))) + MARGIN
+        lang, n = batch.column("lang").to_pylist(), np.diff(before)
+        some = np.flatnonzero(n).tolist()
+        own = [bits[before[d] : before[d + 1], place[lang[d]]].astype(np.float64) for d in some]
+        total, square = np.array([x.sum() for x in own], np.float64), np.array([(x**2).sum() for x in own], np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([lang[d] for d in some], pa.string()), pa.array(total / n[some]), pa.array(total), pa.array(square), pa.array(n[some].astype(np.int64))], names=["lang", "h", "total", "square", "n"])
+
+
+def calibrate(models: Models, known: DataFrame) -> None:
+    """Sets the limits by all documents (text, lang) of known language; a language with fewer than 20 rejects nothing. Quantiles are exact up to ACCURACY documents a language, beyond it their rank is off by a part of 1 / ACCURACY."""
+    if not models.names:
+        return
+    shared = known.sparkSession.sparkContext.broadcast(models)
+    scored = written(known.select("text", "lang").mapInArrow(lambda b: _scored(b, shared), "lang string, h double, total double, square double, n bigint"))
+    all_ = scored.groupBy("lang").agg(F.count("*").alias("docs"), F.percentile_approx("h", 0.5, ACCURACY).alias("mean"), F.sum("total").alias("total"), F.sum("square").alias("square"), F.sum("n").alias("n")).where("docs >= 20")
+    by = all_.select("lang", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") / F.col("n") - F.pow(F.col("total") / F.col("n"), 2))).alias("deviation"))
+    rest = scored.join(F.broadcast(by), "lang").withColumn("rest", F.col("h") - F.col("mean") - SPREAD * F.col("deviation") / F.sqrt("n"))
+    limits = rest.groupBy("lang").agg(F.first("mean"), F.first("deviation"), F.percentile_approx("rest", QUANTILE, ACCURACY))
+    for name, mean, deviation, most in limits.collect():
+        models.limits[models.names.index(name)] = mean, deviation, max(0.0, most) + MARGIN
+    shared.unpersist()
 
 
 def fit(docs: DataFrame) -> Models:
@@ -195,10 +197,7 @@ def fit(docs: DataFrame) -> Models:
     names = sorted(pc.unique(found["lang"]).to_pylist())
     lang = pc.index_in(found["lang"], pa.array(names, pa.string())).to_numpy()
     models = train({x: (key[lang == k], n[lang == k]) for k, x in enumerate(names)})
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= CALIBRATION_DOCS).select("doc_id", "lang").distinct()
-    sample = known.join(some, ["doc_id", "lang"]).select("text", "lang", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    calibrate(models, sample)
+    calibrate(models, known)
     return models
 
 

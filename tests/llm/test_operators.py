@@ -196,6 +196,21 @@ def test_identifiers(text, kind, value):
     assert source.split()[0] in text and pii.find(source) == [(kind, 0, len(source), value)]
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("555-123-4567 555-987-6543 555-222-1111", ["555-123-4567", "555-987-6543", "555-222-1111"]),
+        ("123-45-6789 234-56-7890 345-67-8901", ["123-45-6789", "234-56-7890", "345-67-8901"]),
+        ("123-45-6789/234-56-7890/345-67-8901", ["123-45-6789", "234-56-7890", "345-67-8901"]),
+        ("4111 1111 1111 1111 4222 2222 2222 2222", ["4111 1111 1111 1111", "4222 2222 2222 2222"]),
+        ("4111 1111 1111 1111 555-123-4567", ["4111 1111 1111 1111", "555-123-4567"]),
+        ("4111 1111 1111 1111 123-45-6789", ["4111 1111 1111 1111", "123-45-6789"]),
+    ],
+)
+def test_identifiers_in_a_row(text, values):
+    assert [v for _, _, _, v in pii.find(text)] == values
+
+
 def test_what_is_no_identifier():
     for text in ("he sat at the table. In one two cases", "v 1.2.3.4.5 build 2024-01-15", "one. Two. Three", "0123456789abcdef0123", "year 1999 to 2001"):
         assert pii.find(text) == []
@@ -330,6 +345,21 @@ def test_language(spark):
     assert not found[1000]["keep"] and found[1001]["language"] is None and not found[1001]["keep"]
 
 
+def test_calibration_is_by_all_documents(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 40), "aa") for i in range(1200)]
+    odd = set(rng.sample(range(1200), 60))  # a tail that a part of the documents has
+    rows = [(i, t + (" zqxj kwvz" * rng.randrange(1, 20) if i in odd else ""), x) for i, t, x in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.fit(frame)
+    h, n = language.entropies(models, pa.array([t for _, t, _ in rows]))
+    key, _ = language.grams(pa.array([t for _, t, _ in rows]))
+    deviation = models.measure(key)[:, 0].astype(float).std()
+    mean = np.quantile(h[:, 0], 0.5, method="inverted_cdf")
+    rest = np.quantile(h[:, 0] - mean - language.SPREAD * deviation / np.sqrt(n), language.QUANTILE, method="inverted_cdf")
+    assert models.limits[0] == pytest.approx([mean, deviation, max(0, rest) + language.MARGIN], abs=1e-6)
+
+
 def test_kneser_ney_adds_up():
     key, _ = language.grams(pa.array(["abra cadabra banana", "brand"]))
     model = language.KneserNey(*np.unique(key, return_counts=True))
