@@ -174,75 +174,208 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Entries that a task compares by itself; larger buckets are dealt out in parts of so many, each two parts to a task.
+PART = 1 << 20
+#: Buckets for each partition of a shuffle.
+BUCKETS = 8
+#: Rows of one window that are compared pair by pair, all windows at once; groups with larger windows are compared cluster by cluster.
+SMALL_GROUP = 1024
+
+PACKED = "bucket int, n int, entries binary"
+
+
+def buckets(spark: SparkSession) -> int:
+    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(entries: np.ndarray, group: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that groups fall into, with its entries: for a shuffle that has a few large rows instead of many small ones."""
+    bucket = (mix(group.astype(_U)) % _U(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    kinds, first = np.unique(bucket[order], return_index=True)
+    edge = np.append(first, len(order)).tolist()
+    data = memoryview(entries[order].tobytes())
+    size = entries.dtype.itemsize
+    blobs = [data[x * size : y * size] for x, y in zip(edge, edge[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.diff(edge).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "n", "entries"])
+
+
+def pairs(rows: DataFrame, kind: np.dtype, compare) -> DataFrame:
+    """(a, b) for the pairs that compare(entries) finds in each bucket of packed rows.
+
+    A bucket of more than PART entries isn't held by any task: its rows pass through, numbered by parts, and each two parts are
+    compared by a task of their own, so that no pair is missed.
+    """
+    sorted_ = rows.repartition("bucket").sortWithinPartitions("bucket")
+    found = written(sorted_.mapInArrow(lambda b: _compared(b, kind, compare), f"a bigint, b bigint, part int, {PACKED}"))
+    edges = found.where("part is null").select("a", "b")
+    hot = found.where("part is not null").select("part", "bucket", "entries")
+    if hot.isEmpty():
+        return edges
+    last = hot.groupBy("bucket").agg(F.max("part").alias("last"))
+    met = F.transform(F.sequence(F.lit(0), "last"), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    dealt = hot.join(last, "bucket").select("entries", F.explode(met).alias("m"), "bucket").select("entries", F.xxhash64("bucket", "m.i", "m.j").alias("task"))
+    return edges.union(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: _met(b, kind, compare), "a bigint, b bigint"))
+
+
+def _entries(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], kind: np.dtype, compare) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("entries", pa.binary())])
+    kept: list[bytes] = []
+    now, total, large = None, 0, False
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if kept:
+            a, b = compare(_entries(kept, kind))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), f.type) for f in list(schema)[2:])], schema=schema)
+
+    def passed(blob: bytes, at: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, at // PART, now, len(blob) // kind.itemsize, blob), schema)], schema=schema)
+
+    for batch in batches:
+        for bucket, n, blob in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("entries")):
+            if bucket != now:
+                yield from close()
+                now, total, large, kept = bucket, 0, False, []
+            data = blob.as_py()
+            if not large and total + n > PART:
+                at = 0
+                for x in kept:
+                    yield passed(x, at)
+                    at += len(x) // kind.itemsize
+                large, kept = True, []
+            if large:
+                yield passed(data, total)
+            else:
+                kept.append(data)
+            total += n
+    yield from close()
+    tidy()
+
+
+def _met(batches: Iterator[pa.RecordBatch], kind: np.dtype, compare) -> Iterator[pa.RecordBatch]:
+    for t in whole_groups(batches, "task"):
+        a, b = compare(_entries(t["entries"].to_pylist(), kind))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    tidy()
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables in which each group of rows with one key is complete, from rows sorted by key."""
+    """Each group of rows with one key, from rows sorted by key."""
     kept: list[pa.RecordBatch] = []
+    now = None
     for batch in batches:
         if not batch.num_rows:
             continue
         k = batch.column(key).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(k, k[-1], side="left"))
-        if last == 0 and kept and kept[-1].column(key)[kept[-1].num_rows - 1].as_py() == k[-1]:
-            kept.append(batch)  # all of it belongs to the group that is open
-            continue
-        if kept or last:
-            yield pa.Table.from_batches([*kept, batch.slice(0, last)] if last else kept)
-        kept = [batch.slice(last)]
+        edge = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for lo, hi in zip(edge, edge[1:]):
+            if kept and k[lo] != now:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            now = k[lo]
+            kept.append(batch.slice(lo, hi - lo))
     if kept:
         yield pa.Table.from_batches(kept)
 
 
-#: Groups of up to so many members are compared pair by pair, all groups at once; larger ones one member after another.
-SMALL_GROUP = 512
+def links(key: np.ndarray, apart, most, reach_by: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers at most `most` apart that connect what all such pairs connect, by the nearest pairs.
 
-
-def links(key: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers that connect what `alike` connects in each run of equal keys, as all alike pairs would. alike(i, j) takes slices or arrays of row numbers that broadcast, and gives booleans."""
+    key: rising; rows are compared whose keys differ by `reach_by` at most. most: for each row; apart(i, j) takes arrays of row numbers
+    that broadcast and gives distances. Of each cycle the pair that is farthest apart is left out.
+    """
     n = len(key)
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    sizes = np.diff(edge)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    small = (sizes > 1) & (sizes <= SMALL_GROUP)
-    end = np.repeat(np.where(small, edge[1:], 0), sizes)
-    at = np.flatnonzero(end > np.arange(n) + 1)
+    row = np.arange(n)
+    end = np.searchsorted(key, key + reach_by, side="right")
+    left: list[np.ndarray] = [np.empty(0, np.int64)]
+    right: list[np.ndarray] = [np.empty(0, np.int64)]
+    far: list[np.ndarray] = [np.empty(0, np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        hit = np.flatnonzero(d <= most[i])
+        if len(hit):
+            left.append(i[hit])
+            right.append(j[hit])
+            far.append(d[hit].astype(np.int64))
+
+    wide = end - row > SMALL_GROUP
+    if wide.any():  # rows that windows connect, as far as these are wide somewhere
+        tops = np.maximum.accumulate(end)
+        block = np.cumsum(np.concatenate([[0], (tops[:-1] <= row[1:]).astype(np.int64)]))
+        hot = np.unique(block[wide])
+        for g in hot.tolist():
+            lo, hi = np.searchsorted(block, g), np.searchsorted(block, g, side="right")
+            _clustered(np.arange(lo, hi), key, apart, most, reach_by, add)
+        small = ~np.isin(block, hot)
+    else:
+        small = np.ones(n, bool)
+    at = np.flatnonzero(small & (end > row + 1))
     d = 1
     while len(at):
-        if 2 * len(at) > n - d:  # most rows have a partner at this distance: compared without gathering them
-            found = [at[alike(slice(0, n - d), slice(d, n))[at]]]
-        else:
-            found = [part[alike(part, part + d)] for part in (at[lo : lo + (1 << 18)] for lo in range(0, len(at), 1 << 18))]
-        for hit in found:
-            left.append(hit)
-            right.append(hit + d)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            add(part, part + d, apart(part, part + d))
         d += 1
         at = at[at + d < end[at]]
-    for g in np.flatnonzero(sizes > SMALL_GROUP).tolist():
-        a, b = reach(np.arange(edge[g], edge[g + 1]), alike)
-        left.append(a)
-        right.append(b)
-    none = np.empty(0, np.int64)
-    label = labels_of(n, np.concatenate([none, *left]), np.concatenate([none, *right]))
-    right_end = np.flatnonzero(label != np.arange(n))
-    return label[right_end], right_end  # each row with the first of its component
-
-
-def reach(rest: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the graph that `alike` gives on the row numbers `rest`: each row is compared once with all that aren't reached yet."""
-    left: list[int] = []
-    right: list[int] = []
+    x, y, z = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+    some = forest(n, x, y, z)
+    return x[some], y[some]
+
+
+def _clustered(rows: np.ndarray, key: np.ndarray, apart, most, reach_by: int, add) -> None:
+    """Rows that are close to each other are taken together first: what one of them reaches isn't compared with the next. Then all rows but those of the largest cluster are compared with those of the other clusters."""
+    label = np.full(len(rows), -1)
+    rest = np.arange(len(rows))
     while len(rest):
-        front, rest = [int(rest[0])], rest[1:]
+        front, own = [int(rest[0])], int(rest[0])
+        label[own] = own
+        rest = rest[1:]
         while front and len(rest):
-            i = front.pop()
-            hit = alike(np.int64(i), rest)
+            i = rows[front.pop()]
+            d = apart(i, rows[rest])
+            hit = (d <= most[i] // 4) & (np.abs(key[rows[rest]] - key[i]) <= reach_by)
             if hit.any():
-                new = rest[hit].tolist()
-                left += [i] * len(new)
-                right += new
-                front += new
+                add(np.full(int(hit.sum()), i), rows[rest[hit]], d[hit])
+                label[rest[hit]] = own
+                front += rest[hit].tolist()
                 rest = rest[~hit]
-    return np.array(left, np.int64), np.array(right, np.int64)
+    kinds, size = np.unique(label, return_counts=True)
+    largest = kinds[size.argmax()]
+    others = np.flatnonzero(label != largest)
+    for at in range(0, len(others), 64):
+        i = others[at : at + 64]
+        lo, hi = np.searchsorted(key[rows], [key[rows[i[0]]] - reach_by, key[rows[i[-1]]] + reach_by + 1])
+        j = np.arange(lo, hi)
+        met = ((label[j] == largest) | ((label[j] != label[i][:, None]) & (j > i[:, None]))) & (np.abs(key[rows[j]] - key[rows[i]][:, None]) <= reach_by)
+        d = apart(rows[i][:, None], rows[j][None, :])
+        x, y = np.nonzero(met & (d <= most[rows[i]][:, None]))
+        add(rows[i[x]], rows[j[y]], d[x, y])
+
+
+def forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a lightest spanning forest; of equal weights the first edge counts. Each round every component takes its lightest edge out."""
+    order = np.argsort(weight, kind="stable")
+    label = np.arange(n)
+    chosen: list[np.ndarray] = []
+    while len(order):
+        a, b = label[left[order]], label[right[order]]
+        apart = a != b
+        order, a, b = order[apart], a[apart], b[apart]
+        if not len(order):
+            break
+        best = np.full(n, len(order))
+        np.minimum.at(best, a, np.arange(len(order)))
+        np.minimum.at(best, b, np.arange(len(order)))
+        some = np.unique(best[best < len(order)])
+        chosen.append(order[some])
+        label = labels_of(n, a[some], b[some])[label]
+    return np.concatenate([np.empty(0, np.int64), *chosen])
 
 
 def labels_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -284,3 +417,43 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy() -> None:
+    """Gives memory that Arrow and malloc hold for later back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _malloc_trim()) is not None:
+        trim(0)
+
+
+@cache
+def _malloc_trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return None
+
+
+#: Bits of a filter of hashes: its size doesn't follow the data. The more hashes it holds, the more others pass it too; what passes is joined exactly afterwards.
+FILTER_BITS = 26
+
+
+def filter_of(hashes: DataFrame):
+    """A Bloom filter of a column of 64-bit hashes (two bits for each), broadcast. Its words are gathered with their bits put together first."""
+    x = hashes.select(F.col(hashes.columns[0]).alias("x"))
+    bit = F.explode(F.array(F.col("x").bitwiseAND((1 << FILTER_BITS) - 1), F.shiftright("x", 64 - FILTER_BITS).bitwiseAND((1 << FILTER_BITS) - 1)))
+    word = x.select(bit.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[word["word"].to_numpy()] = word["bits"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    x = hashes.view(_U) if hashes.dtype == np.int64 else hashes
+    word = bits.view(_U)
+    out = np.ones(len(x), bool)
+    for at in (x & _U((1 << FILTER_BITS) - 1), x >> _U(64 - FILTER_BITS)):
+        out &= (word[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
+    return out

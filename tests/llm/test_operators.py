@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,8 @@ import pyarrow as pa
 import pytest
 
 from quillsearch.llm import decontaminate, language, licenses, lines, near, pieces, pii, registry, repeats, secrets, toxicity
-from quillsearch.llm.common import connected, links, whole_groups
+from quillsearch.llm import common
+from quillsearch.llm.common import connected, filter_of, links, passes, whole_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, node string, start int, line int"
 WORDS = [a + b for a in ("tre", "lon", "mir", "sap", "vek", "dul", "gor") for b in ("ano", "ite", "usk", "ela", "omp", "ari", "eth")]
@@ -281,16 +283,46 @@ def test_edit_distances():
         assert (lines.distance(x, y, m) <= m) == ok
 
 
-def test_simhash_counts():
+def test_simhash_is_the_sign_of_hadamard_sums():
     rng = np.random.default_rng(1)
-    sizes = [0, 1, 2, 5, 130, 0, 300]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    h, w = rng.integers(0, 2**63, first[-1]).astype(np.uint64), rng.integers(0, 3, first[-1])
-    got = np.unpackbits(lines.simhashes(h, w, first).view(np.uint8), axis=1, bitorder="little")
-    streams = np.stack([lines.mix(h + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % 2**64)) for s in range(lines._STREAMS)], axis=1)
-    bits = np.unpackbits(streams.view(np.uint8), axis=1, bitorder="little").astype(int)
-    for i, (a, b) in enumerate(zip(first, first[1:])):
-        assert np.array_equal(got[i], 2 * (bits[a:b] * (1 << w[a:b])[:, None]).sum(axis=0) > (1 << w[a:b]).sum())
+    has = (rng.random((lines.BINS, 40)) < rng.random(40) * 0.5).astype(np.int8)
+    hadamard = np.array([[1]])
+    while len(hadamard) < lines.SUMS:
+        hadamard = np.block([[hadamard, hadamard], [hadamard, -hadamard]])
+    sums = hadamard @ (has.astype(int).reshape(-1, lines.SUMS, 40) * lines._signs()).sum(axis=0)
+    got = np.unpackbits(lines.simhashes(has, 192).view(np.uint8), axis=1, bitorder="little")
+    assert np.array_equal(got, sums[1:193].T > 0)
+
+
+def test_equal_blocks_of_lines_are_guaranteed():
+    """Lines whose SimHashes differ in fewer bits than there are blocks meet in one block: the blocks are all of its bits."""
+    rng = np.random.default_rng(2)
+    for name, least, most, blocks, _ in lines.CLASSES:
+        assert lines.SIMHASH % blocks == 0 and lines.SIMHASH // blocks <= 16
+        for _ in range(20):
+            x = rng.integers(0, 2**63, lines._STREAMS).astype(np.uint64)
+            flip = np.zeros(lines.SIMHASH, np.uint8)
+            flip[rng.choice(lines.SIMHASH, blocks - 1, replace=False)] = 1
+            y = x ^ np.packbits(flip, bitorder="little").view(np.uint64)
+            size = int(max(least, 10)) + 1
+            columns = {"line": [1, 2], "size": pa.array([size, size], pa.int32())} | {f"{k}{s}": [int(np.int64(np.uint64(v[s]))) for v in (x, y)] for k in "bt" for s in range(lines._STREAMS)} | {"c0": [5, 5], "c1": [6, 6]}
+            entries = np.frombuffer(b"".join(next(lines._keyed(iter([pa.RecordBatch.from_pydict(columns)]), 1))["entries"].to_pylist()), lines.ENTRY)
+            assert 1 in lines._near(entries)[0] and 2 in lines._near(entries)[1]
+
+
+@pytest.mark.parametrize("size, edits", [(25, 1), (60, 1), (120, 3), (250, 4), (600, 6)])
+def test_recall_of_lines_with_scattered_edits(spark, size, edits):
+    """Letters changed here and there, in lines of all lengths."""
+    rng = random.Random(size)
+    rows = []
+    for g in range(100):
+        line = prose(rng, size // 4)[:size].strip()
+        other = list(line)
+        for k in rng.sample([i for i, c in enumerate(line) if c != " "], edits):
+            other[k] = rng.choice("bcdfghjkm")
+        rows += [(2 * g, line), (2 * g + 1, "".join(other))]
+    gone = {r["doc_id"]: r["kept_id"] for r in lines.repeated_lines(docs(spark, rows)).collect()}
+    assert np.mean([gone.get(2 * g + 1, -1) == 2 * g for g in range(100)]) >= 0.8
 
 
 def test_line_groups_against_brute_force(spark):
@@ -426,7 +458,11 @@ def test_near_groups_against_brute_force(spark):
     alike = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if jp(shingles[i], shingles[j]) >= near.SIMILARITY]
     kept = {r["doc_id"]: r["kept_id"] for r in near.near_groups(docs(spark, rows)).collect()}
     assert np.mean([kept.get(i, i) == kept.get(j, j) for i, j in alike]) >= 0.9
-    assert all(jp(shingles[i], shingles[j]) > 0.2 for i, j in kept.items())
+    root = list(range(len(rows)))
+    for x, y in alike:
+        a, b = root[x], root[y]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert all(root[i] == root[j] for i, j in kept.items())  # nothing is put together that brute force doesn't
     assert kept[len(rows) - 1] == kept.get(0, 0)
     assert len(near.drop_near(docs(spark, rows)).collect()) == len(rows) - len(kept)
 
@@ -443,19 +479,73 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_links_of_large_groups_are_as_of_small_ones():
+@pytest.mark.parametrize("small", [4, 1000])
+def test_links_connect_what_all_pairs_do(monkeypatch, small):
+    """In windows that are compared pair by pair, and in those that are compared by clusters."""
+    monkeypatch.setattr(common, "SMALL_GROUP", small)
     rng = np.random.default_rng(2)
-    key = np.sort(rng.integers(0, 4, 150))
-    x = rng.integers(0, 40, 150)
-    a, b = links(key, lambda i, j: np.abs(x[i] - x[j]) <= 1)
-    label = list(range(150))
-    for i, j in zip(a.tolist(), b.tolist()):
-        p, q = label[i], label[j]
-        label = [min(p, q) if r in (p, q) else r for r in label]
-    for i, j in itertools.combinations(range(150), 2):
-        if key[i] == key[j] and abs(x[i] - x[j]) <= 1:
-            assert label[i] == label[j]
-    assert all(key[i] == key[j] for i, j in zip(a, b))
+    key = np.sort(rng.integers(0, 40, 150))
+    x = rng.integers(0, 400, 150)
+    most = np.where(key < 20, 8, 4)
+    a, b = links(key, lambda i, j: np.abs(x[i] - x[j]), most, 2)
+    alike = [(i, j) for i, j in itertools.combinations(range(150), 2) if key[j] - key[i] <= 2 and abs(x[i] - x[j]) <= most[i]]
+    found = set(zip(a.tolist(), b.tolist())) | set(zip(b.tolist(), a.tolist()))
+    assert found <= set(alike) | {(j, i) for i, j in alike} or small == 4
+    label, wanted = list(range(150)), list(range(150))
+    for edges, own in ((zip(a.tolist(), b.tolist()), label), (alike, wanted)):
+        for i, j in edges:
+            p, q = own[i], own[j]
+            own[:] = [min(p, q) if r in (p, q) else r for r in own]
+    assert label == wanted and len(a) < 150
+
+
+def test_large_buckets_are_compared_in_parts(monkeypatch):
+    kind = np.dtype([("v", "<i8")])
+    rng = np.random.default_rng(3)
+    v = np.arange(300)
+    rng.shuffle(v)
+    compare = lambda e: (lambda x, y: (x, y))(*[np.array(z, np.int64) for z in zip(*[(a, b) for a, b in itertools.combinations(sorted(set(e["v"].tolist())), 2) if b - a == 7])] or [np.empty(0, np.int64)] * 2)
+    batches = [common.packed(part.astype(kind), np.zeros(len(part)), 4) for part in np.split(v, 10)]
+    monkeypatch.setattr(common, "PART", 70)
+    out = pa.Table.from_batches(common._compared(iter(batches), kind, compare)).to_pylist()
+    assert all(r["a"] is None for r in out) and {r["part"] for r in out} == {0, 1, 2, 3}
+    found = set()
+    for i, j in itertools.combinations_with_replacement(range(4), 2):
+        some = [pa.RecordBatch.from_pydict({"task": [1], "entries": [r["entries"]]}) for r in out if r["part"] in (i, j)]
+        for b in common._met(iter(some), kind, compare):
+            found |= set(zip(b["a"].to_pylist(), b["b"].to_pylist()))
+    assert found == {(a, a + 7) for a in range(293)}
+    monkeypatch.setattr(common, "PART", 1000)
+    assert {(r["a"], r["b"]) for r in pa.Table.from_batches(common._compared(iter(batches), kind, compare)).to_pylist()} == found
+
+
+def test_filters_let_all_pass_that_they_hold(spark):
+    rng = np.random.default_rng(4)
+    held, others = rng.integers(-(2**63), 2**63, 500), rng.integers(-(2**63), 2**63, 5000)
+    f = filter_of(spark.createDataFrame([(int(x),) for x in held], "h long"))
+    assert passes(f.value, held).all() and passes(f.value, others).mean() < 0.01
+
+
+def test_similarity_of_shingles_is_exact():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS[:6]) for _ in range(rng.choice([1, 2, 3, 30, 80]))) for _ in range(60)]
+    x, y = texts[:30], texts[30:]
+    grams = [Counter(zip(w, w[1:], w[2:])) if len(w) >= 3 else Counter([tuple(w)]) for w in (t.split() for t in texts)]
+    got = near.similarities(pa.array(x), pa.array(y))
+    assert got == pytest.approx([jp(a, b) for a, b in zip(grams[:30], grams[30:])])
+    assert near.similarities(pa.array(x), pa.array(x)) == pytest.approx(np.ones(30))
+
+
+def test_clashing_names_are_kept(spark):
+    """Columns whose names are used inside come back as they were."""
+    names = ["row", "node", "d", "at", "one", "numbers", "left", "n_gone", "__row", "__text", "__gone", "__one", "__numbers", "group"]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(["one line of words here\nand another line of words", "one line of words here\nsomething else to read now", "and another line of words", None, ""])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for run in (lines.drop_lines, near.drop_near):
+        out = run(d).collect()
+        assert {r["doc_id"] for r in out} >= {0, 1, 3, 4}
+        for r in out:
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
 
 
 def test_groups_go_over_batches():
@@ -493,7 +583,7 @@ def test_leaks_against_brute_force(spark):
     for k, t in items:
         w = (t or "").split()
         n = min(len(w), decontaminate.PHRASE)
-        if k is not None and n >= decontaminate.MIN_PHRASE:
+        if n >= decontaminate.MIN_PHRASE:
             for j in range(len(w) - n + 1):
                 grams.setdefault(tuple(w[j : j + n]), set()).add(k)
     expected = set()
@@ -513,3 +603,122 @@ def test_leaks_against_brute_force(spark):
     for i, t in rows:
         cut = sorted((a, b) for j, a, b in expected if j == i)
         assert clean[i] == decontaminate.without(t, cut)
+
+
+# Brute force and long texts
+
+
+def test_secrets_against_brute_force():
+    """Every run of candidate characters, found by a regular expression in the whole text."""
+    rng, encoding = random.Random(21), secrets._encoding(secrets.VOCABULARY)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice([prose(rng, 3), "é" * rng.randrange(4), "".join(rng.choice(letters) for _ in range(rng.randrange(8, 40))), "key=", ": ", "\n", "9e107d9d372bb6826bd81d3542a419d6"]) for _ in range(rng.randrange(8))]
+        texts.append(rng.choice(["", " "]).join(parts))
+    expected = set()
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/=_-]{16,}", t):
+            if hit := secrets.find(t, m.start(), m.end(), encoding):
+                expected.add((i, hit[0], hit[1]))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    got = {(r["doc_id"], r["start"], r["end"]) for b in secrets._scan(iter([batch]), secrets.VOCABULARY, secrets.MAX_RATIO) for r in b.to_pylist()}
+    assert got == expected and len(got) > 20
+
+
+def test_licenses_against_brute_force():
+    """A place is found where some window of the text has enough of the template in order, and nowhere else."""
+    rng = random.Random(22)
+    own, keys, _, _ = licenses._templates()
+    short = [k for k, t in enumerate(own) if len(t) <= 10 and len(set(t)) == len(t)]
+    seen = [0, 0]
+    for _ in range(300):
+        k = rng.choice(short)
+        t, need = own[k], licenses.needed(len(own[k]))
+        text = [-rng.randrange(1, 9) for _ in range(rng.randrange(6))]
+        for w in t:
+            text += [w] * (rng.random() < 0.88) + [-rng.randrange(1, 9)] * (rng.random() < 0.4)
+        text += [-rng.randrange(1, 9) for _ in range(rng.randrange(6))] + [rng.choice(t)] * rng.randrange(2)
+        best = max((n for a in range(len(text)) for b in range(a + 1, len(text) + 1) if (n := brute_lcs(text[a:b], t)) >= licenses.MIN_DENSITY * (b - a)), default=0)
+        seeds = [i for i, w in enumerate(text) if w in keys[k]]
+        found = licenses.align(text, seeds, t, keys[k])
+        assert bool(found) == (best >= need)
+        seen[bool(found)] += 1
+    assert min(seen) > 30
+
+
+def test_repeated_and_loose_notices(spark):
+    rows = [(1, "released under the mit license. " * 10), (2, "released x under y the z mit q license"), (3, "the license plate is under the mit")]
+    found = Counter(r["doc_id"] for r in licenses.scan_licenses(docs(spark, rows)).collect())
+    assert found == {1: 10, 2: 1}
+
+
+def test_identifiers_behind_random_disguises():
+    """What is planted is found where it is, and nothing else."""
+    rng = random.Random(23)
+    for _ in range(200):
+        name, host, tld = rng.choice(WORDS), rng.choice(WORDS), rng.choice(["com", "org", "net"])
+        at, dot = rng.choice(["@", " at ", " [at] ", "(at)", " (AT) "]), rng.choice([".", " dot ", " [dot] ", "(dot)"])
+        if at == "@" and dot == " dot ":
+            dot = "."
+        mail = f"{name}{at}{host}{dot}{tld}".replace("a", rng.choice(["a", "а"]))
+        phone = " ".join(rng.choice("one two three four five six seven eight nine".split()) for _ in range(10))
+        kinds = [("email", mail), ("phone", phone), ("ip", ".".join(str(rng.randrange(256)) for _ in range(4)))]
+        rng.shuffle(kinds)
+        text, expected = prose(rng, 4), []
+        for kind, x in kinds:
+            text += ", "
+            expected.append((kind, len(text), len(text) + len(x)))
+            text += x + ", " + prose(rng, 5)
+        assert [f[:3] for f in pii.find(text)] == expected
+
+
+@pytest.mark.parametrize("text, value", [("x" * 80 + "@example.com", "x" * 80 + "@example.com"), ("john . doe [at] example . com", "john . doe@example . com"), ("jo\u0301hn@example.com", "john@example.com")])
+def test_whole_addresses(text, value):
+    assert [(a, b, v) for _, a, b, v in pii.find(text)] == [(0, len(text), value)]
+
+
+@pytest.mark.parametrize("unit", [" ", "trash can stupid ", "a", "( ", "a.", " at a", "a@", "1 ", "one ", "1.2.3.4 ", "license ", "0aB-"])
+def test_long_texts_take_time_in_proportion(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.time()
+    toxicity.measure([text], toxicity.base())
+    pii.find(text)
+    for scan in (licenses._scan, lambda b: secrets._scan(b, secrets.VOCABULARY, secrets.MAX_RATIO), lambda b: pieces._encoded(b, pieces.MODEL), lines._lines):
+        list(scan(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "row": [1], "text": [text]})])))
+    assert time.time() - began < 60
+
+
+def test_kneser_ney_against_brute_force():
+    rng = random.Random(24)
+    text = "".join(rng.choice("abc ") for _ in range(400)).strip()
+    key, before = language.grams(pa.array([text]))
+    kinds, n = np.unique(key, return_counts=True)
+    model = language.KneserNey(kinds, n)
+    m = (1 << 16) - 1
+    grams = [tuple(int(k) >> 16 * i & m for i in range(language.ORDER - 1, -1, -1)) for k in kinds.tolist()]
+    counts = [Counter(dict(zip(grams, n.tolist())))]
+    for _ in range(language.ORDER - 1):  # shorter grams by the different characters before
+        counts.append(Counter(g[1:] for g in counts[-1]))
+
+    def p(g):
+        if not g:
+            return 1 / model.symbols
+        c = counts[language.ORDER - len(g)]
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        off = one / (one + 2 * two) if one and two else 0.5
+        total, follow = sum(v for x, v in c.items() if x[:-1] == g[:-1]), sum(x[:-1] == g[:-1] for x in c)
+        return p(g[1:]) if not total else max(c[g] - off, 0) / total + off * follow / total * p(g[1:])
+
+    some = grams[:40] + [tuple(rng.choice([97, 98, 99, 32, 120]) for _ in range(language.ORDER)) for _ in range(40)]
+    asked = np.array([sum(x << 16 * (language.ORDER - 1 - i) for i, x in enumerate(g)) for g in some], np.uint64)
+    assert model.probability(asked) == pytest.approx([p(g) for g in some])
+
+
+def test_benchmark_items_without_an_id_are_cut_out_too(spark):
+    rng = random.Random(25)
+    leak = prose(rng, 15)
+    benchmark = spark.createDataFrame([(None, leak)], "item_id long, text string")
+    found = decontaminate.leaks(docs(spark, [(1, f"x {leak} y")]), benchmark).collect()
+    assert [(r["start"], r["end"], r["item_ids"]) for r in found] == [(2, 2 + len(leak), [])]
+    assert [r["text"] for r in decontaminate.drop_leaks(docs(spark, [(1, f"x {leak} y")]), benchmark).collect()] == ["x  y"]
