@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, tidy
 from .folding import codes, homoglyphs, string
 
 #: Whole words and their weights, whatever the labels say.
@@ -118,12 +120,17 @@ def measure(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
             spared.append((end - n + 1, end))
         else:
             found.append((end - n + 2, end, x))
+    spared.sort()
+    spared_from = [a for a, _ in spared]
+    spared_to = list(accumulate((b for _, b in spared), max))  # of all that begin before, the last end
     edge = (begin + sizes).tolist()
     best: dict[int, tuple[int, float]] = {}
     for s, e, x in found:  # of entries that begin with the same word, the heaviest counts
         doc = int(np.searchsorted(begin, s, side="right")) - 1
-        if e <= edge[doc] + 1 and (s not in best or x > best[s][1]) and not any(a < s and e <= b for a, b in spared):
-            best[s] = (doc, x)
+        if e <= edge[doc] + 1 and (s not in best or x > best[s][1]):
+            k = bisect_left(spared_from, s) - 1
+            if k < 0 or spared_to[k] < e:
+                best[s] = (doc, x)
     for doc, x in best.values():
         total[doc] += x
         hits[doc] += 1
@@ -193,11 +200,11 @@ def learn(texts: list[str], toxic: list[bool]) -> Lexicon:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Fitted on at most FIT_TOXIC and FIT_CLEAN labelled documents, taken in the order of a hash of doc_id. Labels that are null, or whose document isn't there, are left out."""
-    ids = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"])
+    """Fitted on at most FIT_TOXIC and FIT_CLEAN labelled documents, taken in the order of a hash of doc_id. Labels that are null, or whose document isn't there, are left out. Of several texts of one doc_id the smallest counts; of several labels the larger."""
+    ids = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     some = ids.where("toxic = 1").orderBy(*order).limit(FIT_TOXIC).union(ids.where("toxic = 0").orderBy(*order).limit(FIT_CLEAN))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").toArrow()  # at most FIT_TOXIC + FIT_CLEAN ids are broadcast
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toArrow()  # at most FIT_TOXIC + FIT_CLEAN ids are broadcast
     order = pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
     rows = rows.take(order)
     return learn(rows["text"].to_pylist(), [x == 1 for x in rows["toxic"].to_pylist()])
@@ -212,11 +219,13 @@ def _columns(batch: pa.RecordBatch, lexicon: Lexicon) -> tuple[np.ndarray, ...]:
 def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, _columns(batch, lexicon))], names=["doc_id", "score", "n_hits", "n_words", "toxic"])
+    tidy()
 
 
 def _keep(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         yield batch.filter(pa.array(~_columns(batch, lexicon)[3]))
+    tidy()
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
