@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import merged, slices, table, tidy
 from .folding import codes, homoglyphs, string
 
 SCHEMA = "doc_id bigint, kind string, start bigint, end bigint, value string, source string"
@@ -20,18 +20,23 @@ SCHEMA = "doc_id bigint, kind string, start bigint, end bigint, value string, so
 _DIGITS = {w: str(d) for d, ws in enumerate(("zero oh null cero", "one uno eins", "two deux dos zwei", "three trois tres drei", "four quatre cuatro vier", "five cinq cinco fünf", "six seis sechs", "seven sept siete sieben", "eight huit ocho acht", "nine neuf nueve neun")) for w in ws.split()}
 _WORD = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
 _TLD = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|ai|co|uk|us|de|fr|es|it|nl|eu|ch|at|be|ca|au|in|jp|ru|br|mx|dev|app|me|test|example|invalid)"
-_DOTS = r"(?:\s+(?:dot|punkt|punto|point)\s+|\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\.)"
+#: White space is entered at its beginning only, so that long runs are read once.
+_GAP = r"(?:(?<!\s)\s+)?"
+_DOTS = rf"(?:(?<!\s)\s+(?:dot|punkt|punto|point)\s+|{_GAP}[\[({{<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}}>]\s*|\.)"
 #: What a transducer rewrites; in one pass, so that each has its place in the source.
 _DISGUISE = re.compile(
-    rf"(?P<at>\s*[\[({{<]\s*(?:at|ät|arroba|arobase|@)\s*[\])}}>]\s*|\s+(?:at|arroba|arobase)\s+(?=[a-z0-9-]+(?:{_DOTS}[a-z0-9-]+)*?{_DOTS}{_TLD}\b))"
-    rf"|(?P<dot>\s*[\[({{<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}}>]\s*|(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9]))"
+    rf"(?P<at>{_GAP}[\[({{<]\s*(?:at|ät|arroba|arobase|@)\s*[\])}}>]\s*|(?<!\s)\s+(?:at|arroba|arobase)\s+(?=[a-z0-9-]+(?:{_DOTS}[a-z0-9-]+)*?{_DOTS}{_TLD}\b))"
+    rf"|(?P<dot>{_GAP}[\[({{<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}}>]\s*|(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9]))"
     rf"|(?P<digits>\b{_WORD}(?:[\s().,\-]{{1,3}}(?:{_WORD}\b|\d+))+|(?<=\d)[\s\-]{_WORD}(?:[\s().,\-]{{1,3}}(?:{_WORD}\b|\d+))*\b)"
-    r"|(?P<none>[­​-‏⁠﻿]+)"
+    r"|(?P<none>[̀-ͯ­​-‏⁠﻿]+)"
 )
 _SPELLED = re.compile(rf"{_WORD}\b")
 _BETWEEN = re.compile(r"[\s,\-]+\Z")
-_LOCAL = re.compile(r"[a-z0-9._%+\-]*[a-z0-9_%+\-]\Z")
-_DOMAIN = re.compile(r"(?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+[a-z]{2,24}")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"(?:[a-z0-9]++(?:-++[a-z0-9]++)*+\.)+[a-z]{2,24}")
+#: Behind a disguised @, dots may have spaces around.
+_SPACED = re.compile(rf"(?:[a-z0-9]++(?:-++[a-z0-9]++)*+ ?\. ?)+{_TLD}\b")
+_BEFORE = re.compile(r" ?\. ?\Z")
 _NUMBER = re.compile(r"(?:\+|\(\+?)?\d(?:[ .()/\-]{0,3}\d){6,}")
 #: Identifiers inside a longer run of digits, at the borders of its groups.
 _INSIDE = re.compile(
@@ -122,22 +127,31 @@ def detect(n: Normalised) -> list[tuple[str, int, int]]:
     found: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
-        local = _LOCAL.search(text, max(0, at - 64), at)
-        domain = _DOMAIN.match(text, at + 1)
-        if local and domain and local.end() == at:
-            lo = local.start()
-            while lo < at and text[lo] in "._%+-":
-                lo += 1
-            if lo < at:
-                found.append((lo, domain.end(), "email"))
+        hidden = n.rewritten(at, at + 1)
+        domain = _DOMAIN.match(text, at + 1) or (hidden and _SPACED.match(text, at + 1))
+        lo = at
+        while domain:  # to the left as far as the characters of a name go
+            while lo and text[lo - 1] in _LOCAL:
+                lo -= 1
+            gap = _BEFORE.search(text, max(0, lo - 3), lo) if hidden and lo < at else None
+            if not gap or not gap.start() or text[gap.start() - 1] not in _LOCAL:
+                break
+            lo = gap.start()
+        while lo < at and text[lo] in "._%+-":
+            lo += 1
+        if lo < at and text[at - 1] != ".":
+            found.append((lo, domain.end(), "email"))
         at = text.find("@", at + 1)
     found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text)]
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if iban(m.group())]
+    taken = merged([x[:2] for x in found])
+    taken_from = [x[0] for x in taken]
     for m in _NUMBER.finditer(text):
         a, b = m.span()
         if (a and (text[a - 1].isalnum() or text[a - 1] in "_.")) or (b < len(text) and (text[b].isalnum() or text[b] == "_")):
             continue
-        if any(a < y and x < b for x, y, _ in found):
+        k = bisect_left(taken_from, b) - 1
+        if k >= 0 and taken[k][1] > a:
             continue
         parts = [(a, b)]
         if not _kind(text[a:b], n.rewritten(a, b)):  # several in a row: each by itself
@@ -188,6 +202,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows += [(doc, kind, a, b, value, text[a:b]) for kind, a, b, value in find(text)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), kinds)], schema=kinds)
+    tidy()
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
