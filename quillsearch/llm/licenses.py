@@ -6,17 +6,16 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import char_offsets, lowered, ngrams, raw_bytes, slices, span_hashes, table, words
+from .common import _U, char_offsets, lowered, raw_bytes, slices, span_hashes, table, tidy, words
 
 #: Of a template's words so many are aligned at least, and of the words that the alignment reaches over.
 MIN_COVERAGE, MIN_DENSITY = 0.8, 0.5
-#: Words of a seed: texts that share none with a template aren't aligned with it. Templates have that many words at least.
-SEED = 3
 
 _WARRANTY = (
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
@@ -142,50 +141,76 @@ def _hashes(column: pa.Array) -> tuple[np.ndarray, ...]:
     return raw, offsets, starts, ends, text, first, span_hashes(raw, starts, ends)
 
 
+def needed(n: int) -> int:
+    """Words of a template of n that have to be aligned."""
+    return ceil(MIN_COVERAGE * n - 1e-9)
+
+
 @cache
-def _templates() -> tuple[list[list[int]], np.ndarray, list[list[int]]]:
-    """The words of each template; the sorted seeds of all; the templates that have each."""
+def _templates() -> tuple[list[list[int]], list[dict[int, list[int]]], np.ndarray, list[list[int]]]:
+    """The words of each template; its key words, each with its places there; the sorted key words of all; the templates that have each as a key.
+
+    What is aligned lacks at most n - needed(n) of a template's n words, so it holds one of any n - needed(n) + 1 of them: the keys are
+    those that the fewest templates have, and the longest.
+    """
     _, _, _, _, text, first, h = _hashes(pa.array([t for _, t in TEMPLATES]))
     own = [h[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
-    seeds, at = ngrams(h, text, SEED)
-    distinct, which = np.unique(seeds, return_inverse=True)
-    has: list[set[int]] = [set() for _ in distinct]
-    for w, t in zip(which.tolist(), text[at].tolist()):
-        has[w].add(t)
-    return own, distinct, [sorted(x) for x in has]
+    spread = Counter(w for t in own for w in set(t))
+    length = {w: len(x) for t, (_, x) in zip(own, TEMPLATES) for w, x in zip(t, x.split())}
+    keys: list[dict[int, list[int]]] = []
+    for t in own:
+        chosen: dict[int, list[int]] = {}
+        for w in sorted(set(t), key=lambda w: (spread[w], -length[w], w)):
+            if sum(map(len, chosen.values())) > len(t) - needed(len(t)):
+                break
+            chosen[w] = [i for i, x in enumerate(t) if x == w]
+        keys.append(chosen)
+    distinct = np.array(sorted({w for k in keys for w in k}), _U)
+    return own, keys, distinct, [[t for t, k in enumerate(keys) if w in k] for w in distinct.tolist()]
 
 
-def align(text: list[int], seeds: list[int], template: list[int]) -> list[tuple[int, int, float]]:
-    """First word, end and coverage of each place in a text that aligns with a template. seeds: where it has a template's seed, in order."""
-    n = len(template)
-    out: list[tuple[int, int, float]] = []
+def align(text: list[int], seeds: list[int], template: list[int], keys: dict[int, list[int]]) -> list[tuple[int, int, float]]:
+    """First word, end and coverage of each place in a text that aligns with a template. seeds: where it has a key word, in order.
 
-    def place(lo: int, hi: int) -> tuple[int, int, int] | None:
-        span = _dense(patience(text[lo:hi], template))
-        return (lo + span[0], lo + span[1], span[2]) if span and span[2] >= MIN_COVERAGE * n else None
-
-    k = 0
-    while k < len(seeds):
-        m = k
-        while m + 1 < len(seeds) and seeds[m + 1] - seeds[m] <= n and seeds[m + 1] - seeds[k] <= 2 * n:
-            m += 1
-        lo, hi = max(out[-1][1] if out else 0, seeds[k] - n), min(len(text), seeds[m] + SEED + n)
-        whole = place(lo, hi)
-        i = k
-        # Where the text has the template twice, no word of it is unique in the window: the seeds that the whole window's place doesn't reach are searched one by one.
-        while i <= m and seeds[i] < (whole[0] if whole else hi):
-            at, end = seeds[i], whole[0] if whole else hi
-            parts = [place(x, min(y, end)) for x, y in ((max(lo, at - n), at + n), (at, at + n), (at, at + n + n // 4)) if min(y, end) - x >= MIN_COVERAGE * n]
-            if one := max((x for x in parts if x), key=lambda x: x[2], default=None):
-                out.append((one[0], one[1], one[2] / n))
-                lo = one[1]
-                i = max(i + 1, bisect_left(seeds, lo))
-            else:
-                i += 1
-        if whole:
-            out.append((whole[0], whole[1], whole[2] / n))
-            i = max(i, bisect_left(seeds, whole[1]))
-        k = max(k + 1, i)
+    A key word tells where the template would begin; the words from there on are aligned, then with more and more around, and the
+    most words aligned count. The next place is searched behind.
+    """
+    n, need, bag = len(template), needed(len(template)), Counter(template)
+    out: list[tuple[int, int, float]] = []
+    lo = x = y = shared = 0
+    have: Counter[int] = Counter()  # of the template's words in text[x:y], which reaches as far as any alignment around the seed; shared: as many as the template has
+    for s in seeds:
+        if s < lo:
+            continue
+        if s - 3 * n > y:
+            x = y = s - 3 * n
+            have.clear()
+            shared = 0
+        while y < min(len(text), s + 3 * n):
+            if (w := text[y]) in bag:
+                have[w] += 1
+                shared += have[w] <= bag[w]
+            y += 1
+        while x < s - 3 * n:
+            if (w := text[x]) in bag:
+                shared -= have[w] <= bag[w]
+                have[w] -= 1
+            x += 1
+        if shared < need:
+            continue
+        best: tuple[int, int, int] | None = None
+        for slack, t in ((k, t) for k in (0, n // 4 + 1, 2 * n) for t in keys[text[s]]):
+            if best and best[2] == n:
+                break
+            a, b = max(lo, s - t - slack), min(len(text), s - t + n + slack)
+            if (Counter(text[a:b]) & bag).total() < need:
+                continue
+            span = _dense(patience(text[a:b], template))
+            if span and span[2] >= need and (best is None or span[2] > best[2]):
+                best = a + span[0], a + span[1], span[2]
+        if best:
+            out.append((best[0], best[1], best[2] / n))
+            lo = best[1]
     return out
 
 
@@ -211,37 +236,37 @@ def best(found: list[tuple[int, int, float, int]], sizes: list[int]) -> list[tup
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own, distinct, has = _templates()
+    own, keys, distinct, has = _templates()
     sizes = [len(x) for x in own]
     kinds = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())])
     for batch in slices(batches):
         raw, offsets, starts, ends, text, first, h = _hashes(batch.column("text"))
-        gram, at = ngrams(h, text, SEED)
-        if not len(gram):
+        if not len(h):
             continue
-        slot = np.minimum(np.searchsorted(distinct, gram), len(distinct) - 1)
-        hit = distinct[slot] == gram
+        slot = np.minimum(np.searchsorted(distinct, h), len(distinct) - 1)
+        hit = np.flatnonzero(distinct[slot] == h)
         by_doc: dict[int, dict[int, list[int]]] = {}
-        for w, s in zip(at[hit].tolist(), slot[hit].tolist()):
+        for w, s, d in zip((hit - first[text[hit]]).tolist(), slot[hit].tolist(), text[hit].tolist()):
             for t in has[s]:
-                by_doc.setdefault(int(text[w]), {}).setdefault(t, []).append(w - int(first[text[w]]))
+                by_doc.setdefault(d, {}).setdefault(t, []).append(w)
         ids, rows = batch.column("doc_id"), []
         for doc, seeds in by_doc.items():
             base = int(first[doc])
             mine = h[base : int(first[doc + 1])].tolist()
-            found = [(a, b, c, t) for t, own_seeds in seeds.items() for a, b, c in align(mine, own_seeds, own[t])]
+            found = [(a, b, c, t) for t, own_seeds in seeds.items() for a, b, c in align(mine, own_seeds, own[t], keys[t])]
             for a, b, c, t in best(found, sizes):
                 lo, hi = char_offsets(raw, int(offsets[doc]), np.array([starts[base + a], ends[base + b - 1]])).tolist()
                 rows.append((ids[doc].as_py(), TEMPLATES[t][0], lo, hi, round(c, 6)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows), kinds)], schema=kinds)
+    tidy()
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for each license text or notice found: doc_id, its SPDX identifier, start and end in characters, the part of the template's words that is aligned.
 
     Texts are compared by lower-case words. A place counts if MIN_COVERAGE of a template is aligned, in order, and MIN_DENSITY of the
-    words it reaches over. Of templates that overlap the one with more aligned words counts. Null and empty texts have none; a null
+    words it reaches over. Of templates that overlap the one with more aligned words counts; places of one template follow one another. Null and empty texts have none; a null
     doc_id is carried through; repeated rows give repeated results; other columns are not read. Texts of any length are searched whole.
     """
     return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
