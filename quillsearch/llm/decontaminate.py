@@ -7,15 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import char_offsets, lowered, merged, raw_bytes, slices, span_hashes, table, words
+from .common import char_offsets, lowered, merged, raw_bytes, slices, span_hashes, table, tidy, words
 
 #: Words of a test phrase; an item of fewer words is one phrase, if it has at least MIN_PHRASE.
 PHRASE, MIN_PHRASE = 10, 5
 #: Bytes of text in the shard of one index.
 SHARD = 8_000_000
+#: Bytes of the benchmark's texts, which go to every task.
+MOST_BENCHMARK = 64_000_000
 #: Every so many positions of the text, the suffix array is kept.
 SAMPLE = 8
 
@@ -34,8 +37,8 @@ class Phrases:
 
 
 def phrases(items: list[tuple[int | None, str | None]]) -> Phrases:
-    """All runs of PHRASE words of all items. Null items are left out."""
-    items = [(i, t) for i, t in items if i is not None and t]
+    """All runs of PHRASE words of all items; those of an item whose id is null count too, for no item. Null texts are left out."""
+    items = [(i, t) for i, t in items if t]
     raw, offsets = raw_bytes(lowered(pa.array([t for _, t in items], pa.large_string())))
     starts, ends, text, first = words(raw, offsets)
     h = span_hashes(raw, starts, ends)
@@ -51,7 +54,7 @@ def phrases(items: list[tuple[int | None, str | None]]) -> Phrases:
             continue
         pairs.update(a * width + b for a, b in zip(own, own[1:]))
         for j in range(len(own) - n + 1):
-            found.setdefault(tuple(own[j : j + n]), set()).add(item)
+            found.setdefault(tuple(own[j : j + n]), set()).update(() if item is None else (item,))
     keys = list(found)
     symbols = np.zeros((len(keys), PHRASE), np.int64)
     for r, key in enumerate(keys):
@@ -84,7 +87,7 @@ class Wavelet:
         self.levels: list[tuple[int, np.ndarray, int]] = []
         for b in range(max(1, int(top).bit_length()) - 1, -1, -1):
             bit = (s >> b) & 1
-            ones = np.concatenate([[0], np.cumsum(bit)]).astype(np.int64)
+            ones = np.concatenate([np.zeros(1, np.int32), np.cumsum(bit, dtype=np.int32)])  # a shard has fewer than 2^31 words
             self.levels.append((b, ones, len(s) - int(ones[-1])))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
@@ -207,6 +210,7 @@ def _spans(batches: Iterator[pa.RecordBatch], p: Phrases) -> Iterator[pa.RecordB
                 for column, value in zip(rows, (ids[d].as_py(), row[d].as_py(), sorted(x[1]), s, e)):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, kinds)], schema=kinds)
+    tidy()
 
 
 def _joined(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[pa.RecordBatch]:
@@ -224,7 +228,10 @@ def _joined(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[pa
 
 
 def benchmark_phrases(benchmark: DataFrame) -> Phrases:
-    """The benchmark is collected: it is a set of test items, which doesn't grow with the corpus."""
+    """The benchmark is collected: it is a set of test items, which doesn't grow with the corpus. One of more than MOST_BENCHMARK bytes is an error, not cut: it is to be searched in parts."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > MOST_BENCHMARK:
+        raise ValueError(f"the benchmark has {size} bytes of text; at most {MOST_BENCHMARK} are searched at once")
     t = benchmark.select("item_id", "text").toArrow()
     return phrases(sorted(zip(t["item_id"].to_pylist(), t["text"].to_pylist()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
 
@@ -250,11 +257,13 @@ def _cleaned(batches: Iterator[pa.RecordBatch], p: Phrases) -> Iterator[pa.Recor
             for d, a, b in zip(part["doc_id"].to_pylist(), part["start"].to_pylist(), part["end"].to_pylist()):
                 spans.setdefault(d, []).append((a, b))
         if spans:
-            new = texts.to_pylist()
-            for d, own in spans.items():
-                new[d] = without(new[d], own)
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, texts.type))
+            order = sorted(spans)
+            new = pa.array([without(texts[d].as_py(), spans[d]) for d in order], texts.type)
+            mask = np.zeros(batch.num_rows, bool)
+            mask[order] = True
+            batch = batch.set_column(at, batch.schema.field(at), pc.replace_with_mask(texts, pa.array(mask), new))
         yield batch
+    tidy()
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -266,7 +275,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents with the spans that test phrases cover cut out of their texts; all other columns, and texts without such spans, as they were."""
+    """The documents with the spans that test phrases cover cut out of their texts; all other columns, whatever their names, and texts without such spans as they were.
+
+    No document goes: null and empty texts stay, repeated rows are treated alike, and an empty benchmark or table changes nothing.
+    """
     p = benchmark_phrases(benchmark)
     return docs.mapInArrow(lambda b: _cleaned(b, p), docs.schema)
 

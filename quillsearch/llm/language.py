@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import slices, table, tidy, written
 
 #: Characters a gram, of 16 bits each in one 64-bit number. The counts of shorter grams follow from those of whole ones.
 ORDER = 4
@@ -28,7 +29,7 @@ def _letters() -> np.ndarray:
     t = np.full(0x110000, 32, np.uint16)
     for c in range(0x10000):
         s = chr(c)
-        if s.isalpha():
+        if s.isalpha() or unicodedata.category(s)[0] == "M":  # marks belong to their letters
             low = s.lower()
             t[c] = ord(low) if len(low) == 1 and ord(low) < 0x10000 else c
     t[0x10000:0xE0000] = 1  # beyond 16 bits: one letter
@@ -222,6 +223,7 @@ def _identified(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
             [batch.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(np.round(least, 6), mask=none), pa.array(np.round(other, 6), mask=none), pa.array(n), pa.array(keep)],
             names=["doc_id", "language", "cross_entropy", "margin", "n_grams", "keep"],
         )
+    tidy()
 
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:

@@ -12,13 +12,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import raw_bytes, slices, span_hashes, table
+from .common import raw_bytes, slices, span_hashes, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The space that pieces have.
 MARK = "▁"
 #: Segments whose encoding, and pairs of pieces whose fit, a Python worker keeps.
-MOST_KEPT = 400_000
+MOST_KEPT = 100_000
 
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean"
 
@@ -174,7 +174,7 @@ class Transducer:
         if found is None:
             text = data.decode().replace(" ", MARK)
             # A run of spaces has equal scores for all its lengths, so that only the merges' own order tells.
-            parts = self.merge_long(text) if text.startswith(MARK * 2) or len(text) > 4096 else self.path(text)
+            parts = self.merge_long(text) if text.startswith(MARK * 2) else self.path(text)
             ids: list[int] = []
             for p in parts:
                 k = self.id.get(p)
@@ -279,6 +279,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         n = pa.array(np.diff(at), mask=np.asarray(pc.is_null(batch.column("text"))))
         ok = pa.array(same, mask=np.asarray(pc.is_null(batch.column("text"))))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, n, ok], names=["doc_id", "ids", "n_tokens", "round_trip"])
+    tidy()
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

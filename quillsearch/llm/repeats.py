@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import _byte_values, _powers, mix, raw_bytes, slices, table
+from .common import _byte_values, _powers, mix, raw_bytes, slices, table, tidy
 
 #: A repeat has at least so many bytes (of UTF-8); a multiple of 8.
 MIN_REPEAT = 48
@@ -146,6 +146,7 @@ def _scan(batches: Iterator[pa.RecordBatch], most_covered: float, most_longest:
         part = np.round(covered / np.maximum(chars, 1), 9)
         keep = (part <= most_covered) & (longest <= most_longest)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (chars, covered, part, longest, spans, keep))], names=["doc_id", "n_chars", "repeated_chars", "covered", "longest", "n_spans", "keep"])
+    tidy()
 
 
 def repetition(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:

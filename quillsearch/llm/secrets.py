@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import char_offsets, raw_bytes, slices, table
+from .common import char_offsets, raw_bytes, slices, table, tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A candidate is a run of at least so many of these characters.
@@ -115,6 +115,7 @@ def _scan(batches: Iterator[pa.RecordBatch], path: str, max_ratio: float) -> Ite
                     rows.append((ids[doc].as_py(), at + hit[0], at + hit[1], near[hit[0] : hit[1]], hit[2], hit[3]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+    tidy()
 
 
 def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:
