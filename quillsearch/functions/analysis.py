@@ -98,7 +98,7 @@ def query_tokens(spark: SparkSession, analyzer: Analyzer, query: str | None) ->
     """The tokens of a query, by the same columns as those of the documents."""
     if query is None:
         return []
-    return list(spark.createDataFrame([(query,)], "q string").select(analyzer.tokens(F.col("q")).alias("t")).first()["t"])
+    return list(spark.range(1).select(analyzer.tokens(F.lit(query)).alias("t")).first()["t"])
 
 
 def utf8_distance(a: str, b: str) -> int:

@@ -14,7 +14,6 @@ from ..functions.analysis import Analyzer, as_text, query_tokens
 from ..functions.stemming import stem, stemmer
 
 
-
 @dataclass(frozen=True)
 class Stats:
     num_docs: int
@@ -24,6 +23,24 @@ class Stats:
     total_field_lens: tuple[int, ...]
 
 
+@dataclass(frozen=True)
+class Side:
+    """What a stored index has beside its postings, each laid out by what it is looked up by: dict (term, df), raw_dict (raw_term, term, df), grams (gram, term, df, term_len), lens (term, df, term_len, gram_count), prefixes (prefix_len, prefix, raw_term, term, df)."""
+
+    stats: Stats
+    dict: DataFrame
+    raw_dict: DataFrame
+    grams: DataFrame | None
+    lens: DataFrame | None
+    prefixes: DataFrame | None
+
+
+def stats_of(num_docs: int, field_lens: Iterable[int]) -> Stats:
+    field_lens = tuple(field_lens)
+    mean = lambda x: x / num_docs if num_docs else None
+    return Stats(num_docs, mean(sum(field_lens)), tuple(map(mean, field_lens)), sum(field_lens), field_lens)
+
+
 def resolve_fields(df: DataFrame, id_column: str, columns: Iterable[str]) -> tuple[str, ...]:
     """The columns to index; '*' stands for all string columns, the id among them if it is one, whatever else is named."""
     columns = tuple(columns)
@@ -48,6 +65,7 @@ class FtsIndex:
     postings: DataFrame
     layered: bool = True
     incremental: bool = True
+    side: Side | None = None
 
     @classmethod
     def build(cls, df: DataFrame, id_column: str, *columns: str, analyzer: Analyzer | None = None, layered: bool = True, incremental: bool = False, check_ids: bool = True, **options) -> FtsIndex:
@@ -75,13 +93,13 @@ class FtsIndex:
         if names.join(self.docs.select("name"), "name", "left_semi").limit(1).count():
             raise ValueError("Constraint Error: an inserted id is in the index already")
         docs, postings = self.segment(df, id_column)
-        return replace(self, docs=self.docs.unionByName(docs), postings=self.postings.unionByName(postings))
+        return replace(self, docs=self.docs.unionByName(docs, allowMissingColumns=True), postings=self.postings.unionByName(postings), side=None)
 
     def delete(self, ids: DataFrame) -> FtsIndex:
         """The index without the documents whose ids the frame's first column has; unknown and null ids do nothing."""
         self._maintained()
         gone = ids.select(F.col(f"`{ids.columns[0]}`").alias("name")).distinct()
-        return replace(self, docs=self.docs.join(gone, "name", "left_anti"), postings=self.postings.join(gone, "name", "left_anti"))
+        return replace(self, docs=self.docs.join(gone, "name", "left_anti"), postings=self.postings.join(gone, "name", "left_anti"), side=None)
 
     def update(self, df: DataFrame, id_column: str) -> FtsIndex:
         """Rows in place of those of the same ids."""
@@ -105,15 +123,21 @@ class FtsIndex:
     @cached_property
     def dict(self) -> DataFrame:
         """term, df: documents that have the term in any field."""
+        if self.side:
+            return self.side.dict
         return self.postings.groupBy("term").agg(F.count_distinct("name").alias("df"))
 
     @cached_property
     def raw_dict(self) -> DataFrame:
         """raw_term, term, df of each pair of a raw token and its stem."""
+        if self.side:
+            return self.side.raw_dict
         return self.postings.groupBy("raw_term", "term").agg(F.count_distinct("name").alias("df"))
 
     @cached_property
     def stats(self) -> Stats:
+        if self.side:
+            return self.side.stats
         r = self.stats_table().first()
         return Stats(r["num_docs"], r["avgdl"], tuple(r["avg_field_lens"]), r["total_len"], tuple(r["total_field_lens"]))
 
@@ -137,18 +161,24 @@ class FtsIndex:
 
     def term_stats(self) -> DataFrame:
         """term, df, term_len in characters, gram_count."""
+        if self.side and self.side.lens is not None:
+            return self.side.lens
         return self.dict.select("term", "df", F.length("term").cast("long").alias("term_len"), F.greatest(F.length("term") - 2, F.lit(0)).cast("long").alias("gram_count"))
 
     def term_grams(self) -> DataFrame:
         """gram, term, df, term_len: each run of three characters of each term that isn't a number, as often as it occurs."""
+        if self.side and self.side.grams is not None:
+            return self.side.grams
         some = self.term_stats().where((F.col("gram_count") > 0) & ~F.col("term").rlike("^[0-9]+$"))
         return some.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("gram_count").cast("int")), lambda i: F.substring("term", i, F.lit(3)))).alias("gram"), "term", "df", "term_len")
 
     def term_prefixes(self) -> DataFrame:
-        """prefix_len, prefix, raw_term: the first two and three characters of the raw terms that have them."""
+        """prefix_len, prefix, raw_term, term, df: the first two and three characters of the raw terms that have them."""
+        if self.side and self.side.prefixes is not None:
+            return self.side.prefixes
         two_three = F.array(*(F.struct(F.lit(n).alias("prefix_len"), F.substring("raw_term", 1, n).alias("prefix")) for n in (2, 3)))
-        each = self.raw_dict.select("raw_term", "term", F.explode(two_three).alias("p"))
-        return each.where(F.length("raw_term") >= F.col("p.prefix_len")).select("p.prefix_len", "p.prefix", "raw_term", "term")
+        each = self.raw_dict.select("raw_term", "term", "df", F.explode(two_three).alias("p"))
+        return each.where(F.length("raw_term") >= F.col("p.prefix_len")).select("p.prefix_len", "p.prefix", "raw_term", "term", "df")
 
     def tokens(self, query: str | None) -> list[str]:
         return query_tokens(self.spark, self.analyzer, query)

@@ -109,7 +109,8 @@ def picks_of(index: FtsIndex, query: str | None, mode: str, e: Expansion) -> lis
 
 def _completions(index: FtsIndex, last: str, e: Expansion) -> list:
     cap = e.cap(index.stats.num_docs)
-    begin = index.raw_dict.where(F.col("raw_term").startswith(last))
+    n = min(3, len(last))
+    begin = index.term_prefixes().where((F.col("prefix_len") == n) & (F.col("prefix") == last[:n]) & F.col("raw_term").startswith(last)).select("raw_term", "term", "df")
     own = begin.where(F.col("raw_term") == last)
     if e.term_limit is None:
         return own.collect()

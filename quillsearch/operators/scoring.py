@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem
 from .index import FtsIndex
+from .numbering import numbered
 
 #: Terms up to which a search is a list in the filter that reaches the scan of the postings.
 LISTED = 1000
@@ -130,9 +132,41 @@ def match_bm25(index: FtsIndex, df: DataFrame, id_column: str, query: str | None
 
 
 def ranked(found: DataFrame, top_k: int | None) -> DataFrame:
-    """docname, score, rank: the best first, equal ones by name, nulls last."""
+    """docname, score, rank: the best first, equal ones by name, nulls last. Without top_k all rows are numbered, by ranges of scores."""
     order = [F.col("score").desc(), F.col("name").asc_nulls_last()]
-    best = found.orderBy(*order)
-    if top_k is not None:
-        best = best.limit(int(top_k))
+    if top_k is None:
+        return numbered(found.select("name", "score"), order, "rank", 1).select(F.col("name").alias("docname"), "score", "rank")
+    best = found.orderBy(*order).limit(int(top_k))
     return best.select(F.col("name").alias("docname"), "score", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
+
+
+def match_batch(index: FtsIndex, queries: DataFrame, id_column: str, query_column: str, top_k: int = 10, fields: str | None = None, decimals: int | None = None, **options) -> DataFrame:
+    """(query_id, docname, score, rank): the best documents for each row of a table of queries, all queries in one job.
+
+    The queries' tokens are a table that is joined with the dictionary and the postings; nothing of it is collected. A null query, or
+    one without a token that is in the dictionary, has no rows. decimals: scores are rounded before they are ranked.
+    """
+    s = Scoring(**options)
+    s.check(index.fields)
+    stats = index.stats
+    asked = queries.select(F.col(f"`{id_column}`").alias("query_id"), F.explode(index.analyzer.tokens(F.col(f"`{query_column}`").cast("string"))).alias("raw")).distinct()
+    asked = asked.select("query_id", stem(F.col("raw"), index.analyzer.stemmer).alias("term")).where("term <> ''").distinct()
+    idf_ = F.log10((F.lit(stats.num_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    picked = asked.join(index.dict, "term").select("query_id", "term", idf_.alias("idf"))
+    own = parse_fields(index, fields)
+    named = [(f, index.fields[f], stats.avg_field_lens[f]) for f in own]
+    lookup = lambda x: F.element_at(F.create_map(*(F.lit(v) for f, name, mean in named for v in (f, float(x(name, mean))))), F.col("fieldid")) if named else F.lit(None).cast("double")
+    b_of = lambda name: float((s.field_b or {}).get(name, s.b))
+    w, c, d = lookup(lambda name, _: (s.field_weights or {}).get(name, 1.0)), lookup(lambda name, _: 1 - b_of(name)), lookup(lambda name, mean: b_of(name) / mean if mean else 0.0)
+    p = index.postings.where(F.col("fieldid").isin(*own) if own else F.lit(False)).join(picked, "term").select("query_id", "name", "term", "fieldid", "idf", w.alias("w"), (F.col("tf") / (c + d * F.col("flen"))).alias("x"))
+    k = float(s.k)
+    saturated = F.coalesce(F.try_divide(F.col("p") * (k + 1), F.col("p") + k), F.lit(0.0))
+    if s.model == "bm25f":
+        found = p.groupBy("query_id", "name", "term", "idf").agg(F.sum(F.col("w") * F.col("x")).alias("p")).groupBy("query_id", "name").agg(F.sum(F.col("idf") * saturated).alias("score"))
+    else:
+        by_field = p.groupBy("query_id", "name", "fieldid", "term", "idf", "w").agg(F.sum("x").alias("p")).groupBy("query_id", "name", "fieldid").agg((F.max("w") * F.sum(F.col("idf") * saturated)).alias("f"))
+        found = by_field.groupBy("query_id", "name").agg((F.max("f") + float(s.tie_breaker) * (F.sum("f") - F.max("f"))).alias("score"))
+    if decimals is not None:
+        found = found.withColumn("score", F.round("score", decimals))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("name").asc_nulls_last())
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= int(top_k)).select("query_id", F.col("name").alias("docname"), "score", "rank")

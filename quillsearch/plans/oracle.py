@@ -1,4 +1,4 @@
-"""SQL from first principles for what the engine computes, in DuckDB's dialect."""
+"""SQL from first principles for what the engine computes."""
 
 from __future__ import annotations
 
@@ -101,3 +101,13 @@ begin AS (SELECT term, df, CASE WHEN term = {text(last)} THEN 1.0 ELSE 0.85 END
 few AS (SELECT *, row_number() OVER (ORDER BY df, length(term), term) AS r FROM begin WHERE term <> {text(last)}),
 pick AS (SELECT term, 1.0::DOUBLE AS x, df, 1 AS m FROM dict WHERE term IN ({listed(words) or "''"})
   UNION ALL SELECT term, x, df, 1 FROM begin WHERE term = {text(last)} UNION ALL SELECT term, x, df, 1 FROM few WHERE r <= {limit})"""
+
+
+def batch(table: str, id_column: str, column: str, top_k: int, k: float = 1.2, b: float = 0.75) -> str:
+    """The best documents for each text of a table, by one field."""
+    x = f"(tf / ((1 - {b}) + {b} * d.f0 / a0))"
+    return f"""qt AS (SELECT DISTINCT query_id, term FROM (SELECT {id_column} AS query_id, unnest({tokens(column)}) AS term FROM {table}) WHERE term <> ''),
+tf AS (SELECT name, term, count(*) AS tf FROM tok GROUP BY ALL),
+found AS (SELECT query_id, t.name, sum(log10((n - df + 0.5) / (df + 0.5) + 1) * {x} * ({k} + 1) / ({x} + {k})) AS score
+  FROM qt JOIN dict USING (term) JOIN tf t USING (term) JOIN docs d ON d.name = t.name CROSS JOIN st GROUP BY query_id, t.name)
+SELECT query_id, name AS docname, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, name) AS rank FROM found) WHERE rank <= {top_k}"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from ..functions.analysis import Analyzer, damerau, tokenize_standard
 from ..functions.stemming import stem
 from ..operators import boolean, layered, scoring
 from ..operators.index import FtsIndex
+from ..operators.numbering import checkpoint_folder
+from ..sources.store import IndexStore
 from ..sources.tables import table
 from . import oracle as o
+from .surface import register_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,13 +37,36 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+PLAIN = {"stemmer": "none", "stopwords": "none"}
+_STORES: dict[tuple, IndexStore] = {}
+
+
+def fresh(spark: SparkSession, d: str, **options) -> FtsIndex:
+    """Texts without stemming, so that SQL can follow; a lazy index. The ids of the tables are keys."""
+    return FtsIndex.build(table(spark, d, "documents"), "doc_id", "text", check_ids=False, **PLAIN | options)
+
+
+def stored(spark: SparkSession, d: str, name: str, id_column: str, *fields: str, **options) -> FtsIndex:
+    """The stored index of a table, built by the first query of the session that asks for it."""
+    df = table(spark, d, name)
+    key = (spark.sparkContext.applicationId, tuple(sorted(df.inputFiles())), fields, tuple(sorted(options.items())))
+    if key not in _STORES:
+        store = new_store(spark)
+        store.build(df, id_column, *fields, check_ids=False, **PLAIN | options)
+        _STORES[key] = store
+    return _STORES[key].load()
+
+
+def new_store(spark: SparkSession) -> IndexStore:
+    return IndexStore(spark, f"{checkpoint_folder(spark)}/fts-{uuid.uuid4()}")
+
+
 def documents(spark: SparkSession, d: str, **options) -> FtsIndex:
-    """Texts without stemming, so that SQL can follow. The ids of the tables are keys."""
-    return FtsIndex.build(table(spark, d, "documents"), "doc_id", "text", check_ids=False, **{"stemmer": "none", "stopwords": "none"} | options)
+    return stored(spark, d, "documents", "doc_id", "text", **options)
 
 
 def parts(spark: SparkSession, d: str, **options) -> FtsIndex:
-    return FtsIndex.build(table(spark, d, "part"), "p_partkey", *PART, check_ids=False, **{"stemmer": "none", "stopwords": "none"} | options)
+    return stored(spark, d, "part", "p_partkey", *PART, **options)
 
 
 def _docs(**more) -> str:
@@ -99,7 +126,7 @@ def stem_query(spark: SparkSession, d: str) -> DataFrame:
 
 @register("index_docs", _docs() + " SELECT name AS doc_id, len FROM docs")
 def index_docs(spark, d):
-    return documents(spark, d).docs.select(F.col("name").alias("doc_id"), "len")
+    return fresh(spark, d).docs.select(F.col("name").alias("doc_id"), "len")
 
 
 @register("index_field_lens", _parts() + " SELECT name AS p_partkey, f0, f1, f2 FROM docs")
@@ -109,12 +136,12 @@ def index_field_lens(spark, d):
 
 @register("index_dict_df", _docs() + " SELECT term, df FROM dict")
 def index_dict(spark, d):
-    return documents(spark, d).dict
+    return fresh(spark, d).dict
 
 
 @register("index_terms_tf", _docs() + " SELECT term, name AS doc_id, fieldid::INTEGER AS fieldid, count(*) AS tf FROM tok GROUP BY ALL")
 def index_terms(spark, d):
-    return documents(spark, d).postings.select("term", F.col("name").alias("doc_id"), "fieldid", "tf")
+    return fresh(spark, d).postings.select("term", F.col("name").alias("doc_id"), "fieldid", "tf")
 
 
 @register("index_stats", _parts() + " SELECT n AS num_docs, round(avgdl, 6) AS avgdl, round(a0, 6) AS a0, round(a1, 6) AS a1, round(a2, 6) AS a2, t AS total_len, t0, t1, t2 FROM st")
@@ -126,22 +153,39 @@ def index_stats(spark, d):
 
 @register("index_raw_dict", _docs() + " SELECT term AS raw_term, term, df FROM dict")
 def index_raw_dict(spark, d):
-    return documents(spark, d).raw_dict
+    return fresh(spark, d).raw_dict
 
 
 @register("index_term_stats", _docs() + " SELECT term, df, length(term) AS term_len, greatest(length(term) - 2, 0) AS gram_count FROM dict")
 def index_term_stats(spark, d):
-    return documents(spark, d).term_stats()
+    return fresh(spark, d).term_stats()
 
 
 @register("index_term_grams", _docs() + " SELECT g AS gram, term FROM (SELECT term, unnest(list_transform(range(1, length(term) - 1), lambda i: substr(term, i::INTEGER, 3))) AS g FROM dict WHERE length(term) > 2 AND NOT regexp_full_match(term, '[0-9]+'))")
 def index_term_grams(spark, d):
-    return documents(spark, d).term_grams().select("gram", "term")
+    return fresh(spark, d).term_grams().select("gram", "term")
 
 
 @register("index_term_prefixes", _docs() + " SELECT 2 AS prefix_len, substr(term, 1, 2) AS prefix, term AS raw_term FROM dict WHERE length(term) >= 2 UNION ALL SELECT 3, substr(term, 1, 3), term FROM dict WHERE length(term) >= 3")
 def index_term_prefixes(spark, d):
-    return documents(spark, d).term_prefixes().select("prefix_len", "prefix", "raw_term")
+    return fresh(spark, d).term_prefixes().select("prefix_len", "prefix", "raw_term")
+
+
+@register("index_build", _docs() + " SELECT name AS doc_id, len, row_number() OVER (ORDER BY name) - 1 AS docid FROM docs")
+def index_build(spark, d):
+    """A stored index with all its tables, built anew; documents are numbered in the order of their names."""
+    index = new_store(spark).build(table(spark, d, "documents"), "doc_id", "text", **PLAIN)
+    return index.docs.select(F.col("name").alias("doc_id"), "len", "docid")
+
+
+@register("index_term_ids", _docs() + " SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS termid FROM dict")
+def index_term_ids(spark, d):
+    return documents(spark, d).dict.select("term", "df", "termid")
+
+
+@register("index_stored_grams", _docs() + " SELECT g AS gram, term, df, length(term) AS term_len FROM (SELECT term, df, unnest(list_transform(range(1, length(term) - 1), lambda i: substr(term, i::INTEGER, 3))) AS g FROM dict WHERE length(term) > 2 AND NOT regexp_full_match(term, '[0-9]+'))")
+def index_stored_grams(spark, d):
+    return documents(spark, d).term_grams().select("gram", "term", "df", F.col("term_len").cast("long"))
 
 
 # BM25, BM25F and best fields.
@@ -272,8 +316,10 @@ def _split(spark, d, lang: str) -> tuple[DataFrame, DataFrame]:
     return docs.where(F.col("lang") != lang), docs.where(F.col("lang") == lang)
 
 
-def _maintained(first: DataFrame) -> FtsIndex:
-    return FtsIndex.build(first, "doc_id", "text", stemmer="none", stopwords="none", incremental=True)
+def _maintained(first: DataFrame) -> IndexStore:
+    store = new_store(first.sparkSession)
+    store.build(first, "doc_id", "text", incremental=True, **PLAIN)
+    return store
 
 
 def _query(index: FtsIndex) -> DataFrame:
@@ -299,3 +345,51 @@ def incremental_delete(spark, d):
 def incremental_update(spark, d):
     _, some = _split(spark, d, "de")
     return _query(_maintained(table(spark, d, "documents")).update(some.withColumn("text", F.concat("text", F.lit(" ention ention"))), "doc_id"))
+
+
+def _both(spark, d, lang: str) -> FtsIndex:
+    """Documents of a language are inserted later, those of French deleted."""
+    first, later = _split(spark, d, lang)
+    store = _maintained(first)
+    store.insert(later, "doc_id")
+    return store.delete(table(spark, d, "documents").where("lang = 'fr'").select("doc_id"))
+
+
+_LEFT = {"source": "SELECT * FROM documents WHERE lang <> 'fr'"}
+
+
+@register("incremental_layered", _docs(**_LEFT) + ", " + o.expansion(["erretth", "intionn"], short=False) + ", " + o.score(1) + " " + o.ranked())
+def incremental_layered(spark, d):
+    return top(layered.layered_scores(_both(spark, d, "de"), "erretth intionn", enable_short_fuzzy=False))
+
+
+@register("incremental_autocomplete", _docs(**_LEFT) + ", " + o.completion([ONE], "int") + ", " + o.score(1) + " " + o.ranked())
+def incremental_autocomplete(spark, d):
+    return top(layered.layered_scores(_both(spark, d, "de"), f"{ONE} int", query_mode="autocomplete"))
+
+
+@register("incremental_dict", _docs(**_LEFT) + " SELECT term, df FROM dict")
+def incremental_dict(spark, d):
+    return _both(spark, d, "de").dict.select("term", "df")
+
+
+@register("incremental_compacted", _docs(**_LEFT) + ", " + o.expansion(["ingtion"], prefix=False, fuzzy=False, short=False, expand_exact=True) + ", " + o.score(1) + " " + o.ranked())
+def incremental_compacted(spark, d):
+    first, later = _split(spark, d, "fr")
+    store = _maintained(table(spark, d, "documents"))
+    store.delete(later.select("doc_id"))
+    return top(layered.layered_scores(store.compact(), "ingtion", **_OFF | {"enable_substring": True, "expand_exact_terms": True}))
+
+
+# Many queries at once, and SQL.
+
+
+@register("batch_match_bm25", _docs() + ", " + o.batch("benchmark", "item_id", "text", 10))
+def batch_match(spark, d):
+    return scoring.match_batch(documents(spark, d), table(spark, d, "benchmark"), "item_id", "text", top_k=10, decimals=6)
+
+
+@register("sql_match_bm25", _docs() + ", " + o.exact([ONE, TWO]) + ", " + o.score(1) + " SELECT name AS doc_id, round(score, 6) AS score FROM found")
+def sql_match(spark, d):
+    register_index(documents(spark, d), "corpus")
+    return spark.sql(f"SELECT docname AS doc_id, round(score, 6) AS score FROM corpus_match_bm25('{ONE}, {TWO}!')")

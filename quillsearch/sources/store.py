@@ -4,25 +4,31 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.analysis import Analyzer
-from ..operators.index import FtsIndex, _check_ids
+from ..operators.index import FtsIndex, Side, _check_ids, stats_of
+from ..operators.numbering import numbered
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """What makes up one version: folders of segments and of tombstones, in the order they were added."""
+    """What makes up one version: folders of segments and of tombstones, in the order they were added, with the documents and the length of each field that a folder adds or takes away; the next free numbers of documents and terms."""
 
     version: int
     analyzer: dict
     fields: tuple[str, ...]
     layered: bool
     incremental: bool
-    steps: tuple[tuple[str, str], ...]  # ("segment" or "tombstones", folder)
+    steps: tuple[tuple[str, str, int, tuple[int, ...]], ...]  # ("segment" or "tombstones", folder, documents, field lengths)
+    schemas: dict  # DDL of each table, so that opening an index reads no footers
+    next_docid: int = 0
+    next_termid: int = 0
 
 
 class IndexStore:
@@ -49,7 +55,8 @@ class IndexStore:
             raise ValueError(f"a FTS index does not exist at '{self.path}'. Create one with build()")
         text = self.spark.sparkContext.wholeTextFiles(f"{self.path}/manifests/{versions[-1] if version is None else version:09d}.json").first()[1]
         m = json.loads(text)
-        return Manifest(m["version"], m["analyzer"], tuple(m["fields"]), m["layered"], m["incremental"], tuple(map(tuple, m["steps"])))
+        steps = tuple((kind, folder, n, tuple(lens)) for kind, folder, n, lens in m["steps"])
+        return Manifest(m["version"], m["analyzer"], tuple(m["fields"]), m["layered"], m["incremental"], steps, m["schemas"], m["next_docid"], m["next_termid"])
 
     def _commit(self, m: Manifest) -> None:
         target = self._path(f"{self.path}/manifests/{m.version:09d}.json")
@@ -57,21 +64,46 @@ class IndexStore:
         out.write(bytearray(json.dumps(asdict(m)).encode()))
         out.close()
 
-    def _write_segment(self, docs: DataFrame, postings: DataFrame) -> str:
-        """Postings lie in order of their terms, so that a query's terms are found by the row groups' ranges."""
+    def _put(self, df: DataFrame, path: str, *order: str) -> DataFrame:
+        """Writes a table in the order of what it is looked up by, so that row groups' ranges find it, and reads it again."""
+        if order:
+            df = df.repartitionByRange(order[0]).sortWithinPartitions(*order)
+        df.write.parquet(f"{self.path}/{path}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{path}")
+
+    def _write_segment(self, docs: DataFrame, postings: DataFrame, m: Manifest | None, n_fields: int, layered: bool, known: DataFrame | None = None) -> tuple[tuple, dict, int, int]:
+        """A segment and all that is derived from its postings: the step of the manifest, the tables' schemas, the next numbers. known: the terms that have numbers already."""
         folder = f"segments/{uuid.uuid4()}"
-        docs.write.parquet(f"{self.path}/{folder}/docs")
-        postings.repartitionByRange("term").sortWithinPartitions("term", "raw_term", "fieldid", "name").write.parquet(f"{self.path}/{folder}/postings")
-        return folder
+        first_doc, first_term = (m.next_docid, m.next_termid) if m else (0, 0)
+        kept = self._put(numbered(docs.select("name", "len", "field_lens"), [F.col("name")], "docid", first_doc), f"{folder}/docs", "name")
+        p = self._put(postings, f"{folder}/postings", "term", "raw_term", "fieldid", "name")
+        df = F.count_distinct("name").alias("df")
+        terms = p.groupBy("term").agg(df)
+        new = terms if known is None else terms.join(known.select("term"), "term", "left_anti")
+        ids = numbered(new, [F.col("term")], "termid", first_term)
+        if known is not None:
+            ids = ids.unionByName(terms.join(known.select("term", "termid"), "term"))
+        side = FtsIndex(self.spark, Analyzer(stemmer="none"), (), kept, p)
+        side.__dict__["dict"] = self._put(ids.select("term", "termid", "df"), f"{folder}/dict", "term")
+        side.__dict__["raw_dict"] = self._put(p.groupBy("raw_term", "term").agg(df), f"{folder}/raw_dict", "raw_term", "term")
+        tables = {"docs": kept, "postings": p, "dict": side.dict, "raw_dict": side.raw_dict}
+        if layered:
+            tables["lens"] = self._put(side.term_stats(), f"{folder}/lens", "term_len", "term")
+            tables["grams"] = self._put(side.term_grams(), f"{folder}/grams", "gram", "term")
+            tables["prefixes"] = self._put(side.term_prefixes(), f"{folder}/prefixes", "prefix", "prefix_len", "raw_term")
+        r = kept.agg(F.count("*"), *(F.coalesce(F.sum(F.col("field_lens")[i]), F.lit(0)) for i in range(n_fields)), F.coalesce(F.max("docid") + 1, F.lit(first_doc))).first()
+        next_term = side.dict.agg(F.max("termid")).first()[0]
+        step = ("segment", folder, r[0], tuple(r[1:-1]))
+        return step, {k: t.schema.json() for k, t in tables.items()}, r[-1], max(first_term, -1 if next_term is None else next_term + 1)
 
     def build(self, df: DataFrame, id_column: str, *columns: str, overwrite: bool = False, **options) -> FtsIndex:
         if self.exists() and not overwrite:
             raise ValueError(f"a FTS index already exists at '{self.path}'. Supply overwrite=True to overwrite, or drop() it")
         index = FtsIndex.build(df, id_column, *columns, **options)
-        folder = self._write_segment(index.docs, index.postings)
+        step, schemas, docid, termid = self._write_segment(index.docs, index.postings, None, len(index.fields), index.layered)
         analyzer = {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(index.analyzer).items()}
         next_version = (self._versions() or [-1])[-1] + 1
-        self._commit(Manifest(next_version, analyzer, index.fields, index.layered, index.incremental, (("segment", folder),)))
+        self._commit(Manifest(next_version, analyzer, index.fields, index.layered, index.incremental, (step,), schemas, docid, termid))
         return self.load()
 
     def drop(self) -> None:
@@ -80,66 +112,100 @@ class IndexStore:
         for part in ("manifests", "segments", "tombstones"):
             self._fs.delete(self._path(f"{self.path}/{part}"), True)
 
+    def _read(self, m: Manifest, folder: str, name: str) -> DataFrame:
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(m.schemas[name]))).parquet(f"{self.path}/{folder}/{name}")
+
     def load(self, version: int | None = None) -> FtsIndex:
+        """The index of a version. Statistics are sums over the manifest; dictionaries are sums over the segments, of which what tombstones took away is subtracted. Nothing is tokenized or counted again."""
         m = self.manifest(version)
         docs = postings = None
-        for kind, folder in m.steps:  # tombstones are for what came before them
+        for kind, folder, *_ in m.steps:  # tombstones are for what came before them
             if kind == "segment":
-                d, p = (self.spark.read.parquet(f"{self.path}/{folder}/{x}") for x in ("docs", "postings"))
+                d, p = self._read(m, folder, "docs"), self._read(m, folder, "postings")
                 docs, postings = (d, p) if docs is None else (docs.unionByName(d), postings.unionByName(p))
             else:
-                gone = self.spark.read.parquet(f"{self.path}/{folder}")
+                gone = self.spark.read.schema(T.StructType([docs.schema["name"]])).parquet(f"{self.path}/{folder}/names")
                 docs, postings = docs.join(gone, "name", "left_anti"), postings.join(gone, "name", "left_anti")
         options = dict(m.analyzer)
         if isinstance(options["stopwords"], list):
             options["stopwords"] = tuple(options["stopwords"])
-        return FtsIndex(self.spark, Analyzer(**options), m.fields, docs, postings, m.layered, m.incremental)
-
-    def _next(self, m: Manifest, steps: list[tuple[str, str]]) -> FtsIndex:
-        self._commit(Manifest(m.version + 1, m.analyzer, m.fields, m.layered, m.incremental, (*m.steps, *steps)))
+        sign = {"segment": 1, "tombstones": -1}
+        n = sum(sign[kind] * n for kind, _, n, _ in m.steps)
+        stats = stats_of(n, (sum(sign[kind] * lens[i] for kind, _, _, lens in m.steps) for i in range(len(m.fields))))
+        segments = [folder for kind, folder, *_ in m.steps if kind == "segment"]
+        if len(m.steps) == 1:
+            own = lambda name: self._read(m, segments[0], name) if m.layered else None
+            side = Side(stats, self._read(m, segments[0], "dict"), self._read(m, segments[0], "raw_dict"), own("grams"), own("lens"), own("prefixes"))
+        else:
+            deltas = {name: reduce(DataFrame.unionByName, (self._read(m, folder, name).withColumn("df", F.col("df") * sign[kind]) for kind, folder, *_ in m.steps)) for name in ("dict", "raw_dict")}
+            terms = deltas["dict"].groupBy("term").agg(F.min("termid").alias("termid"), F.sum("df").alias("df")).where("df > 0")
+            raw = deltas["raw_dict"].groupBy("raw_term", "term").agg(F.sum("df").alias("df")).where("df > 0")
+            grams = prefixes = None
+            if m.layered:  # what a segment has of a term, all have: df comes from the sums, for the few terms that a gram or prefix leaves
+                each = {name: [self._read(m, folder, name) for folder in segments] for name in ("grams", "prefixes")}
+                times = [g.groupBy("gram", "term", "term_len").agg(F.count("*").alias("times")) for g in each["grams"]]
+                grams = reduce(DataFrame.unionByName, times).groupBy("gram", "term", "term_len").agg(F.max("times").alias("times"))
+                grams = grams.join(terms.select("term", "df"), "term").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("gram", "term", "df", "term_len")
+                prefixes = reduce(DataFrame.unionByName, (p.drop("df") for p in each["prefixes"])).distinct().join(raw, ["raw_term", "term"])
+            side = Side(stats, terms, raw, grams, None, prefixes)
+        return FtsIndex(self.spark, Analyzer(**options), m.fields, docs, postings, m.layered, m.incremental, side)
+
+    def _next(self, m: Manifest, steps: list[tuple], schemas: dict | None = None, docid: int | None = None, termid: int | None = None) -> FtsIndex:
+        self._commit(replace(m, version=m.version + 1, steps=(*m.steps, *steps), schemas=schemas or m.schemas, next_docid=m.next_docid if docid is None else docid, next_termid=m.next_termid if termid is None else termid))
         return self.load()
 
-    def _inserted(self, live: FtsIndex, df: DataFrame, id_column: str) -> tuple[str, str]:
+    def _inserted(self, m: Manifest, live: FtsIndex, dict_: DataFrame, df: DataFrame, id_column: str) -> tuple[tuple, dict, int, int]:
         live._maintained()
         names = df.select(F.col(f"`{id_column}`").alias("name"))
         _check_ids(names, True)
         if names.join(live.docs.select("name"), "name", "left_semi").limit(1).count():
             raise ValueError("Constraint Error: an inserted id is in the index already")
-        return "segment", self._write_segment(*live.segment(df, id_column))
+        return self._write_segment(*live.segment(df, id_column), m, len(m.fields), m.layered, dict_)
 
-    def _deleted(self, live: FtsIndex, ids: DataFrame) -> tuple[str, str]:
+    def _deleted(self, m: Manifest, live: FtsIndex, ids: DataFrame) -> tuple:
+        """The names that go, and what the dictionaries and statistics lose by them."""
         live._maintained()
         folder = f"tombstones/{uuid.uuid4()}"
-        ids.select(F.col(f"`{ids.columns[0]}`").alias("name")).where("name is not null").distinct().write.parquet(f"{self.path}/{folder}")
-        return "tombstones", folder
+        asked = ids.select(F.col(f"`{ids.columns[0]}`").alias("name").cast(live.docs.schema["name"].dataType)).where("name is not null").distinct()
+        gone = self._put(live.docs.join(asked, "name", "left_semi").select("name"), f"{folder}/names")
+        lost = live.postings.join(gone, "name", "left_semi")
+        df = F.count_distinct("name").alias("df")
+        self._put(lost.groupBy("term").agg(df).join(live.dict.select("term", "termid"), "term").select("term", "termid", "df"), f"{folder}/dict", "term")
+        self._put(lost.groupBy("raw_term", "term").agg(df), f"{folder}/raw_dict", "raw_term", "term")
+        r = live.docs.join(gone, "name", "left_semi").agg(F.count("*"), *(F.coalesce(F.sum(F.col("field_lens")[i]), F.lit(0)) for i in range(len(m.fields)))).first()
+        return "tombstones", folder, r[0], tuple(r[1:])
 
     def insert(self, df: DataFrame, id_column: str) -> FtsIndex:
         m = self.manifest()
-        return self._next(m, [self._inserted(self.load(m.version), df, id_column)])
+        live = self.load(m.version)
+        step, schemas, docid, termid = self._inserted(m, live, live.dict, df, id_column)
+        return self._next(m, [step], schemas, docid, termid)
 
     def delete(self, ids: DataFrame) -> FtsIndex:
         m = self.manifest()
-        return self._next(m, [self._deleted(self.load(m.version), ids)])
+        return self._next(m, [self._deleted(m, self.load(m.version), ids)])
 
-    def update(self, df: DataFrame, id_column: str) -> FtsIndex:
-        """Rows in place of those of the same ids, in one version."""
+    def update(self, df: DataFrame, id_column: str, deleted: DataFrame | None = None) -> FtsIndex:
+        """Rows in place of those of the same ids, and without the documents whose ids `deleted` has, in one version."""
         m = self.manifest()
         live = self.load(m.version)
-        ids = df.select(id_column)
-        gone = self._deleted(live, ids)
-        return self._next(m, [gone, self._inserted(live.delete(ids), df, id_column)])
+        ids = df.select(id_column) if deleted is None else df.select(id_column).union(deleted.select(deleted.columns[0]))
+        gone = self._deleted(m, live, ids)
+        step, schemas, docid, termid = self._inserted(m, live.delete(ids), live.dict, df, id_column)
+        return self._next(m, [gone, step], schemas, docid, termid)
 
     def compact(self) -> FtsIndex:
-        """One segment in place of all segments and tombstones; older versions stay readable until vacuum()."""
+        """One segment in place of all segments and tombstones; older versions stay readable until vacuum(). Documents and terms are numbered anew."""
         m = self.manifest()
         live = self.load(m.version)
-        self._commit(Manifest(m.version + 1, m.analyzer, m.fields, m.layered, m.incremental, (("segment", self._write_segment(live.docs, live.postings)),)))
+        step, schemas, docid, termid = self._write_segment(live.docs, live.postings, None, len(m.fields), m.layered)
+        self._commit(replace(m, version=m.version + 1, steps=(step,), schemas=schemas, next_docid=docid, next_termid=termid))
         return self.load()
 
     def vacuum(self) -> None:
         """Deletes what the last version doesn't use."""
         m = self.manifest()
-        used = {folder for _, folder in m.steps}
+        used = {folder for _, folder, *_ in m.steps}
         for part in ("segments", "tombstones"):
             root = self._path(f"{self.path}/{part}")
             for f in self._fs.listStatus(root) if self._fs.exists(root) else []:

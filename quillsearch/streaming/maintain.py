@@ -27,9 +27,7 @@ def apply(store: IndexStore, batch: DataFrame, id_column: str, deleted: str | No
     if kept.isEmpty():
         store.delete(rows.select(id_column))
     else:
-        if not rows.where(gone).isEmpty():
-            store.delete(rows.where(gone).select(id_column))
-        store.update(kept, id_column)
+        store.update(kept, id_column, rows.where(gone).select(id_column))  # both in one version
 
 
 def maintain(stream: DataFrame, store: IndexStore, id_column: str, checkpoint: str, deleted: str | None = None, order: str | None = None, **trigger) -> StreamingQuery:
