@@ -294,6 +294,29 @@ def test_simhash_is_the_sign_of_hadamard_sums():
     assert np.array_equal(got, sums[1:193].T > 0)
 
 
+def test_rows_that_sketches_use():
+    """The rows in use tell all bins apart, for both SimHashes, and give the signs of their sums; sketches go by them."""
+    rng = np.random.default_rng(3)
+    has = (rng.random((lines.BINS, 30)) < 0.05).astype(np.int8)
+    hadamard = np.array([[1]])
+    while len(hadamard) < lines.SUMS:
+        hadamard = np.block([[hadamard, hadamard], [hadamard, -hadamard]])
+    sums = hadamard @ (has.astype(int).reshape(-1, lines.SUMS, 30) * lines._signs()).sum(axis=0)
+    for bits in (128, 192):
+        used = lines._ROWS[:bits]
+        assert len(set(used.tolist())) == bits and len(np.unique(hadamard[used], axis=1).T) == lines.SUMS
+        got = np.unpackbits(lines.simhashes(has, bits, lines._ROWS).view(np.uint8), axis=1, bitorder="little")
+        assert np.array_equal(got, sums[used].T > 0)
+    x = lines.Normal(pa.array(["some words of a line that is long enough"]))
+    data = bytes(x.flat[x.lo[0] - 1 : x.hi[0] + 1])
+    one = np.zeros((lines.BINS, 1), np.int8)
+    shift = 32 - lines.BINS.bit_length() + 1
+    for a, b in zip(data, data[1:]):
+        g = a | b << 8
+        one[((g ^ g >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> shift] = 1
+    assert np.array_equal(x.sketches(np.array([0]), 2, 192), lines.simhashes(one, 192, lines._ROWS))
+
+
 def test_equal_blocks_of_lines_are_guaranteed():
     """Lines whose SimHashes differ in fewer bits than there are blocks meet in one block: the blocks are all of its bits."""
     rng = np.random.default_rng(2)
