@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-from . import porter, snowball
+from . import porter, romance, snowball
 
-STEMMERS: dict[str, Callable[[str], str]] = {"porter": porter.stem, **snowball.STEMMERS}
+STEMMERS: dict[str, Callable[[str], str]] = {"porter": porter.stem, **snowball.STEMMERS, **romance.STEMMERS}
 #: Names that are known but have no stemmer here yet: using one is an error, never the identity.
 PLANNED = (
     "arabic armenian basque catalan czech danish dutch dutch_porter english esperanto estonian finnish french german greek hindi hungarian indonesian irish italian lithuanian nepali norwegian "

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from quillsearch.functions import porter, snowball
+from quillsearch.functions import porter, romance, snowball
 from quillsearch.functions.analysis import Analyzer, query_tokens, utf8_distance
 from quillsearch.functions.stemming import stemmer
 from quillsearch.operators.boolean import boolean_scores, parse, search_layered_bm25_query
@@ -207,6 +207,11 @@ def test_porter_vectors():
     assert [snowball.english(w) for w in ("knightly", "generously", "skies", "running")] == ["knight", "generous", "sky", "run"]
     assert [snowball.german(w) for w in ("aufeinander", "häuser", "kategorischen")] == ["aufeinand", "haus", "kategor"]
     assert snowball.russian("какие") == snowball.russian("каких")
+    assert [romance.italian(w) for w in ("abbandonerà", "pronunciamento", "propagare", "propriamente")] == ["abbandon", "pronunc", "propag", "propr"]
+    assert [romance.portuguese(w) for w in ("boataria", "quilométricas", "química", "quinhão")] == ["boat", "quilométr", "químic", "quinhã"]
+    assert [romance.dutch_porter(w) for w in ("lichaamszwakheid", "lichamelijkheden", "opglimpende")] == ["lichaamszwak", "licham", "opglimp"]
+    assert [romance.romanian(w) for w in ("abruptă", "absența", "absenţa", "oceanele")] == ["abrupt", "absenț", "absenț", "ocean"]
+    assert all(f(w) is not None for f in romance.STEMMERS.values() for w in ("", "a", "y", "é", "x" * 5000, "aa", "qu", "ie"))
     with pytest.raises(ValueError):
         stemmer("klingon")
     with pytest.raises(NotImplementedError):
