@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, _word_bytes, buckets, connected, filter_of, links, mix, packed, pairs, passes, raw_bytes, slices, span_hashes, table, tidy, written
+from .common import PACKED, _word_bytes, buckets, close_rows, connected, filter_of, linked, mix, packed, pairs, passes, raw_bytes, slices, span_hashes, table, tidy, written
 
 #: Lines are the same from this edit similarity of their words on: 1 - distance / length of the longer, in characters.
 SIMILARITY = 0.9
@@ -39,6 +39,8 @@ _TOGETHER_LINES = 256
 SLICE = 1_000_000
 #: An entry of a bucket: class, block and its bits, step of the length, line, second SimHash.
 ENTRY = np.dtype([("group", "<u4"), ("step", "<u2"), ("line", "<i8"), ("c0", "<u8"), ("c1", "<u8")])
+#: And the group that the line is known to be of, when lines of different groups are compared.
+PLACED = np.dtype([*ENTRY.descr, ("root", "<i8")])
 
 
 @cache
@@ -136,7 +138,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], n_buckets: int, entry: np.dtype = ENTRY) -> Iterator[pa.RecordBatch]:
     """An entry for each block of each line's SimHash. A line that the task has had is left out."""
     seen = np.empty(0, np.int64)
     kept: list[np.ndarray] = []
@@ -161,10 +163,12 @@ def _keyed(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.Rec
                 block = s[at // 64] >> _U(at % 64)
                 if at % 64 + width > 64:
                     block = block | (s[at // 64 + 1] << _U(64 - at % 64))
-                out = np.empty(len(own), ENTRY)
+                out = np.empty(len(own), entry)
                 out["group"] = (block & _U((1 << width) - 1)).astype(np.uint32) | np.uint32((kind << 4 | k) << 16)
                 out["step"], out["line"] = step[own], part.column("line").to_numpy()
                 out["c0"], out["c1"] = (part.column(c).to_numpy().view(_U) for c in ("c0", "c1"))
+                if "root" in entry.names:
+                    out["root"] = part.column("root").to_numpy()
                 kept.append(out)
         if sum(map(len, kept)) > 1 << 17:
             every = np.concatenate(kept)
@@ -176,8 +180,8 @@ def _keyed(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.Rec
     tidy()
 
 
-def _near(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines of an equal block and of like length whose second SimHashes differ in few bits."""
+def _windows(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable, np.ndarray]:
+    """Of entries in the order of their blocks and lengths: their numbers, keys and lines; the distance of rows by the second SimHash, and the most that it may be."""
     tag = (entries["group"].astype(_U) << _U(42)) | (entries["step"].astype(_U) << _U(30)) | (entries["line"].astype(_U) >> _U(34))
     order = np.argsort(tag)
     tag, line = tag[order], entries["line"][order]
@@ -185,8 +189,24 @@ def _near(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order, key, line = order[new], (tag[new] >> _U(30)).astype(np.int64), line[new]
     x, y = entries["c0"][order], entries["c1"][order]
     most = np.array([c[4] for c in CLASSES], np.uint8)[key >> (LENGTH_BITS + 20)]
-    a, b = links(key, lambda i, j: np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]), most, LENGTH_STEPS)
-    a, b = line[a], line[b]
+    return order, key, line, lambda i, j: np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]), most
+
+
+def _near(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of an equal block and of like length whose second SimHashes differ in few bits, as far as they connect lines; and each line that has more such pairs, beside itself."""
+    _, key, line, apart, most = _windows(entries)
+    a, b, more = linked(key, apart, most, LENGTH_STEPS)
+    a, b = line[np.append(a, more)], line[np.append(b, more)]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _across(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All such pairs of lines that aren't known to be of one group."""
+    order, key, line, apart, most = _windows(entries)
+    found = [(line[i], line[j]) for i, j, _ in close_rows(key, apart, most, LENGTH_STEPS, entries["root"][order])]
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*found))
     return np.minimum(a, b), np.maximum(a, b)
 
 
@@ -388,20 +408,45 @@ def _picked(batches: Iterator[pa.RecordBatch], rows, lines) -> Iterator[pa.Recor
     tidy()
 
 
+def _held(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """The lines that pass a filter."""
+    for batch in batches:
+        yield batch.filter(pa.array(passes(held.value, batch.column("line").to_numpy())))
+    tidy()
+
+
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines that have a word (doc_id, row, number, line), and the group of each line (line, group) that occurs again or is like another."""
-    kinds = "doc_id bigint, row bigint, number int, line bigint, size int, " + ", ".join(f"{s} bigint" for s in _SKETCHES)
+    """All lines that have a word (doc_id, row, number, line), and the group of each line (line, group) that occurs again or is like another.
+
+    Candidates are verified in two rounds: first those that connect all lines that any connect, then, of lines that have others too,
+    all that are of different groups still.
+    """
+    sketches = ", ".join(f"{s} bigint" for s in _SKETCHES)
+    kinds = f"doc_id bigint, row bigint, number int, line bigint, size int, {sketches}"
     keyed_docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     lines = written(keyed_docs.mapInArrow(_lines, kinds))
     counts = written(lines.groupBy("line").agg(F.min("row").alias("row"), F.count("*").alias("n")))
     wide = buckets(docs.sparkSession)
-    keyed = lines.select("line", "size", *_SKETCHES).mapInArrow(lambda b: _keyed(b, wide), PACKED)
-    near = written(pairs(keyed, ENTRY, _near).distinct())
+    keyed = lines.select("line", "size", *_SKETCHES)
+    near = written(pairs(keyed.mapInArrow(lambda b: _keyed(b, wide), PACKED), ENTRY, _near).distinct())
     asked = written(near.select(F.explode(F.array("a", "b")).alias("line")).distinct().join(counts.select("line", "row"), "line"))
     rows, own = filter_of(asked.select("row")), filter_of(asked.select("line"))
-    texts = keyed_docs.select("text", "row").mapInArrow(lambda b: _picked(b, rows, own), "line bigint, words string").dropDuplicates(["line"])
-    both = near.join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
-    parts = connected(both.mapInArrow(_verified, "a bigint, b bigint"))
+    texts = written(keyed_docs.select("text", "row").mapInArrow(lambda b: _picked(b, rows, own), "line bigint, words string").dropDuplicates(["line"]))
+
+    def verified(near: DataFrame) -> DataFrame:
+        both = near.join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
+        return both.mapInArrow(_verified, "a bigint, b bigint")
+
+    parts = connected(verified(near.where("a <> b")))
+    more = near.where("a = b").select(F.col("a").alias("line"))
+    if not more.isEmpty():
+        held = filter_of(more)
+        some = keyed.mapInArrow(lambda b: _held(b, held), f"line bigint, size int, {sketches}")
+        some = some.join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+        across = written(pairs(some.mapInArrow(lambda b: _keyed(b, wide, PLACED), PACKED), PLACED, _across).distinct())
+        found = written(verified(across.join(near, ["a", "b"], "left_anti")))
+        if not found.isEmpty():
+            parts = connected(found.union(parts))
     placed = counts.select("line", "n").join(parts.withColumnRenamed("node", "line"), "line", "left").where("n > 1 or root is not null")
     return lines, placed.select("line", F.coalesce("root", "line").alias("group"))
 

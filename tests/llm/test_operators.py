@@ -374,6 +374,53 @@ def test_line_groups_against_brute_force(spark):
     assert all(root[place[a]] == root[place[b]] for a, b in kept.items())  # nothing is put together that brute force doesn't
 
 
+def test_no_link_of_candidates_is_left_out(spark):
+    """Lines at the threshold, among which pairs that look alike are none: what any verified candidate connects is one group."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(30):
+        base = prose(rng, 18).split()
+        for _ in range(14):
+            own = list(base)
+            for k in rng.sample(range(18), rng.choice([1, 1, 2])):
+                own[k] = rng.choice(WORDS) + rng.choice(WORDS)
+            texts.append(" ".join(own))
+    sketched = pa.Table.from_batches(lines._lines(iter([pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "row": range(len(texts)), "text": texts})])))
+    text = {k: texts[d] for k, d in zip(sketched["line"].to_pylist(), sketched["doc_id"].to_pylist())}
+    entries = np.concatenate([np.frombuffer(b"".join(b["entries"].to_pylist()), lines.ENTRY) for b in lines._keyed(iter(sketched.to_batches()), 1)])
+    root = {k: k for k in text}
+    for block in (entries[entries["group"] == g] for g in np.unique(entries["group"])):
+        for x, y in itertools.combinations(block, 2):
+            far = int(x["c0"] ^ y["c0"]).bit_count() + int(x["c1"] ^ y["c1"]).bit_count()
+            a, b = int(x["line"]), int(y["line"])
+            if far > lines.CLASSES[int(x["group"]) >> 20][4] or abs(int(x["step"]) - int(y["step"])) > lines.LENGTH_STEPS or root[a] == root[b]:
+                continue
+            most = int(lines.most_edits(max(len(text[a]), len(text[b]))))
+            if lines.distance(text[a], text[b], most) <= most:
+                p, q = root[a], root[b]
+                root = {k: min(p, q) if r in (p, q) else r for k, r in root.items()}
+    found = {k: k for k in text} | {r["line"]: r["group"] for r in lines.line_groups(docs(spark, list(enumerate(texts))))[1].collect()}
+    assert len(set(root.values())) < len(text) - 50
+    assert found == root
+
+
+@pytest.mark.parametrize("small", [4, 1000])
+def test_rows_with_further_links_are_named(monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GROUP", small)
+    monkeypatch.setattr(common, "MOST_HELD", 100)
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 30, 200))
+    x, label = rng.integers(0, 300, 200), rng.integers(0, 3, 200)
+    apart, most = lambda i, j: np.abs(x[i] - x[j]), np.where(key < 15, 9, 5)
+    alike = {(i, j) for i, j in itertools.combinations(range(200), 2) if key[j] - key[i] <= 2 and abs(x[i] - x[j]) <= most[i]}
+    every = [(i, j, d) for part in common.close_rows(key, apart, most, 2) for i, j, d in zip(*(z.tolist() for z in part))]
+    assert {(i, j) for i, j, _ in every} == alike and len(every) == len(alike) and all(abs(x[i] - x[j]) == d for i, j, d in every)
+    a, b, more = common.linked(key, apart, most, 2)
+    assert {z for pair in alike - set(zip(a.tolist(), b.tolist())) for z in pair} == set(more.tolist())
+    across = {(i, j) for part in common.close_rows(key, apart, most, 2, label) for i, j in zip(part[0].tolist(), part[1].tolist())}
+    assert across == {(i, j) for i, j in alike if label[i] != label[j]}
+
+
 def test_lines_go(spark):
     line = "the quick brown fox jumps over the lazy dog near the river bank"
     rows = [(1, f"{line}\nown words of the first one here"), (2, f"!!\n{line.upper()}!\nother words that the second has alone"), (3, line.replace("lazy", "lazyy")), (None, line)]
