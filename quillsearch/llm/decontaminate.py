@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import char_offsets, lowered, merged, raw_bytes, slices, span_hashes, table, tidy, words
+from .common import SLICE_BYTES, char_offsets, lowered, merged, raw_bytes, slices, span_hashes, table, tidy, words
 
 #: Words of a test phrase; an item of fewer words is one phrase, if it has at least MIN_PHRASE.
 PHRASE, MIN_PHRASE = 10, 5
@@ -147,7 +147,7 @@ def occurrences(symbol: np.ndarray, text: np.ndarray, p: Phrases) -> tuple[np.nd
         return np.empty(0, np.int64), np.empty(0, np.int64)
     width = len(p.vocabulary) + 1
     both = np.flatnonzero((symbol[:-1] > 0) & (symbol[1:] > 0) & (text[:-1] == text[1:]))
-    key = symbol[both] * width + symbol[both + 1]
+    key = symbol[both].astype(np.int64) * width + symbol[both + 1]
     slot = np.minimum(np.searchsorted(p.pairs, key), len(p.pairs) - 1)
     both = both[p.pairs[slot] == key]  # words that follow each other in no item can't be in a phrase
     if not len(both):
@@ -172,47 +172,67 @@ def occurrences(symbol: np.ndarray, text: np.ndarray, p: Phrases) -> tuple[np.nd
     return which, inside[index.locate(rows)]
 
 
+def _symbols(raw: np.ndarray, offsets: np.ndarray, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, text number and symbol of each word of a shard, made of some texts at a time, in narrow numbers: workers share an executor's memory."""
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    parts: list[list[np.ndarray]] = [[np.empty(0, kind)] for _ in range(4)]
+    at = 0
+    while at < len(offsets) - 1:
+        base = int(offsets[at])
+        to = max(at + 1, int(np.searchsorted(offsets, base + SLICE_BYTES, side="right")) - 1)
+        part = raw[base : offsets[to]]
+        starts, ends, text, _ = words(part, offsets[at : to + 1] - base)
+        if len(starts):
+            h = span_hashes(part, starts, ends)
+            slot = np.minimum(np.searchsorted(p.vocabulary, h), len(p.vocabulary) - 1)
+            for column, x in zip(parts, (starts + base, ends + base, text + at, np.where(p.vocabulary[slot] == h, slot + 1, 0))):
+                column.append(x.astype(kind))
+        at = to
+    return tuple(np.concatenate(x) for x in parts)
+
+
 def _spans(batches: Iterator[pa.RecordBatch], p: Phrases) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("start", pa.int64()), ("end", pa.int64())])
     for batch in slices(_joined(batches), most=SHARD):
-        raw, offsets = raw_bytes(lowered(batch.column("text")))
-        starts, ends, text, _ = words(raw, offsets)
-        if not len(starts) or not len(p.vocabulary):
-            continue
-        h = span_hashes(raw, starts, ends)
-        slot = np.minimum(np.searchsorted(p.vocabulary, h), len(p.vocabulary) - 1)
-        symbol = np.where(p.vocabulary[slot] == h, slot + 1, 0)
-        which, at = occurrences(symbol, text, p)
-        if not len(at):
-            continue
-        order = np.argsort(at, kind="stable")
-        which, at = which[order], at[order]
-        doc, lo, hi = text[at], starts[at], ends[at + p.lengths[which] - 1]
-        out: list[tuple[int, set[int], int, int]] = []
-        for d, w, a, b in zip(doc.tolist(), which.tolist(), lo.tolist(), hi.tolist()):  # in order: spans that overlap become one
-            if out and out[-1][0] == d and a <= out[-1][3]:
-                e = out[-1]
-                out[-1] = (d, e[1] | set(p.items[w]), e[2], max(e[3], b))
-            else:
-                out.append((d, set(p.items[w]), a, b))
-        ids, row = batch.column("doc_id"), batch.column("row")
-        rows: list[list] = [[] for _ in kinds]
-        k = 0
-        while k < len(out):
-            d = out[k][0]
-            own = []
-            while k < len(out) and out[k][0] == d:
-                own.append(out[k])
-                k += 1
-            a = char_offsets(raw, int(offsets[d]), np.array([x[2] for x in own]))
-            b = char_offsets(raw, int(offsets[d]), np.array([x[3] for x in own]))
-            for x, s, e in zip(own, a.tolist(), b.tolist()):
-                for column, value in zip(rows, (ids[d].as_py(), row[d].as_py(), sorted(x[1]), s, e)):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, kinds)], schema=kinds)
+        if len(p.vocabulary) and (found := _found(batch, p)) is not None:
+            yield found
     tidy()
 
 
+def _found(batch: pa.RecordBatch, p: Phrases) -> pa.RecordBatch | None:
+    """The spans of a shard, if it has any."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("start", pa.int64()), ("end", pa.int64())])
+    raw, offsets = raw_bytes(lowered(batch.column("text")))
+    starts, ends, text, symbol = _symbols(raw, offsets, p)
+    which, at = occurrences(symbol, text, p)
+    if not len(at):
+        return None
+    order = np.argsort(at, kind="stable")
+    which, at = which[order], at[order]
+    doc, lo, hi = text[at], starts[at], ends[at + p.lengths[which] - 1]
+    out: list[tuple[int, set[int], int, int]] = []
+    for d, w, a, b in zip(doc.tolist(), which.tolist(), lo.tolist(), hi.tolist()):  # in order: spans that overlap become one
+        if out and out[-1][0] == d and a <= out[-1][3]:
+            e = out[-1]
+            out[-1] = (d, e[1] | set(p.items[w]), e[2], max(e[3], b))
+        else:
+            out.append((d, set(p.items[w]), a, b))
+    ids, row = batch.column("doc_id"), batch.column("row")
+    rows: list[list] = [[] for _ in kinds]
+    k = 0
+    while k < len(out):
+        d = out[k][0]
+        own = []
+        while k < len(out) and out[k][0] == d:
+            own.append(out[k])
+            k += 1
+        a = char_offsets(raw, int(offsets[d]), np.array([x[2] for x in own]))
+        b = char_offsets(raw, int(offsets[d]), np.array([x[3] for x in own]))
+        for x, s, e in zip(own, a.tolist(), b.tolist()):
+            for column, value in zip(rows, (ids[d].as_py(), row[d].as_py(), sorted(x[1]), s, e)):
+                column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, kinds)], schema=kinds)
+
+
 def _joined(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Batches put together to about `most` bytes."""
     kept: list[pa.RecordBatch] = []
@@ -248,7 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], p: Phrases) -> Iterator[pa.RecordBatch]:
-    for batch in _joined(batches):
+    for batch in slices(_joined(batches), most=SHARD):
         at = batch.schema.get_field_index("text")
         texts = batch.column(at)
         numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), pa.array([0] * batch.num_rows, pa.int64()), texts], names=["doc_id", "row", "text"])

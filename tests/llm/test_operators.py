@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -792,3 +793,25 @@ def test_benchmark_items_without_an_id_are_cut_out_too(spark):
     found = decontaminate.leaks(docs(spark, [(1, f"x {leak} y")]), benchmark).collect()
     assert [(r["start"], r["end"], r["item_ids"]) for r in found] == [(2, 2 + len(leak), [])]
     assert [r["text"] for r in decontaminate.drop_leaks(docs(spark, [(1, f"x {leak} y")]), benchmark).collect()] == ["x  y"]
+
+
+def test_shards_take_bounded_memory(monkeypatch):
+    """A batch of many shards is cut and given on shard by shard, and what a shard took isn't held while the next is indexed."""
+    monkeypatch.setattr(decontaminate, "SHARD", 1_000_000)
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 250_000, raising=False)
+    rng = random.Random(12)
+    item = prose(rng, 30)
+    texts = [prose(rng, 60) + (" " + item if i % 50 == 0 else "") for i in range(8000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(8000), "text": texts})
+    p = decontaminate.phrases([(1, item)])
+    most, size, left = 0, [], []
+    tracemalloc.start()
+    try:
+        for out in decontaminate._cleaned(iter([batch]), p):
+            size.append(sum(map(len, out["text"].to_pylist())))
+            left.append(out["text"])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pa.concat_arrays(left).to_pylist() == [t.removesuffix(item) for t in texts]
+    assert max(size) <= 1_000_000 and most < 12_000_000
