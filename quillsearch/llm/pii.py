@@ -23,13 +23,19 @@ _TLD = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|ai|co|uk|us|de|fr|es|it|nl|e
 #: White space is entered at its beginning only, so that long runs are read once.
 _GAP = r"(?:(?<!\s)\s+)?"
 _DOTS = rf"(?:(?<!\s)\s+(?:dot|punkt|punto|point)\s+|{_GAP}[\[({{<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}}>]\s*|\.)"
+#: Characters that are not seen.
+_NONE = "[̀-ͯ­​-‏⁠﻿]"
 #: What a transducer rewrites; in one pass, so that each has its place in the source.
 _DISGUISE = re.compile(
     rf"(?P<at>{_GAP}[\[({{<]\s*(?:at|ät|arroba|arobase|@)\s*[\])}}>]\s*|(?<!\s)\s+(?:at|arroba|arobase)\s+(?=[a-z0-9-]+(?:{_DOTS}[a-z0-9-]+)*?{_DOTS}{_TLD}\b))"
     rf"|(?P<dot>{_GAP}[\[({{<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}}>]\s*|(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9]))"
     rf"|(?P<digits>\b{_WORD}(?:[\s().,\-]{{1,3}}(?:{_WORD}\b|\d+))+|(?<=\d)[\s\-]{_WORD}(?:[\s().,\-]{{1,3}}(?:{_WORD}\b|\d+))*\b)"
-    r"|(?P<none>[̀-ͯ­​-‏⁠﻿]+)"
+    rf"|(?P<none>{_NONE}+)"
 )
+#: Where alone it may begin: by a bracket or what is not seen, by white space before a word, by a spelled digit.
+_MARK = re.compile(rf"[\[({{<{_NONE[1:]}")
+_SAID = re.compile(r"\s(?=(?:at|arroba|arobase|dot)\s)")
+_COUNTED = re.compile(rf"\W(?={_WORD}\b)")
 _SPELLED = re.compile(rf"{_WORD}\b")
 _BETWEEN = re.compile(r"[\s,\-]+\Z")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -62,6 +68,25 @@ def _fold() -> np.ndarray:
     return t
 
 
+def disguises(flat: str) -> Iterator[re.Match]:
+    """The matches of _DISGUISE, which is tried only where one may begin: the same as those of finditer."""
+    starts = {0}
+    for pattern in (_MARK, _SAID):
+        for m in pattern.finditer(flat):
+            k = m.start()
+            starts.add(k)
+            while k and flat[k - 1].isspace():  # white space before belongs to it
+                k -= 1
+            starts.add(k)
+    for m in _COUNTED.finditer(flat):
+        starts.update(m.span())
+    at = 0
+    for k in sorted(starts):
+        if k >= at and (m := _DISGUISE.match(flat, k)):
+            yield m
+            at = m.end()
+
+
 class Normalised:
     """A normalised text and, for each of its pieces, where it begins there and in the source."""
 
@@ -80,7 +105,7 @@ class Normalised:
                 n += len(piece)
                 self.here.append(n)
 
-        for m in _DISGUISE.finditer(flat):
+        for m in disguises(flat):
             a, b = m.span()
             if m.lastgroup == "digits":
                 first = True

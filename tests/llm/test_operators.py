@@ -815,3 +815,15 @@ def test_shards_take_bounded_memory(monkeypatch):
         tracemalloc.stop()
     assert pa.concat_arrays(left).to_pylist() == [t.removesuffix(item) for t in texts]
     assert max(size) <= 1_000_000 and most < 12_000_000
+
+
+def test_disguises_are_tried_where_they_may_begin():
+    rng = random.Random(21)
+    bits = [" ", "  ", "\n", "at", "dot", "arroba", "[", "(", "{", ")", "]", "@", ".", ",", "-", "one", "two", "oh", "seven", "fünf", "7", "42", "a", "john", "example", "com", "\u200b", "\u0301", "_", "<", ">", "punkt"]
+    found = 0
+    for _ in range(20000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 24)))
+        spans = [(m.span(), m.lastgroup) for m in pii.disguises(text)]
+        assert spans == [(m.span(), m.lastgroup) for m in pii._DISGUISE.finditer(text)], text
+        found += len(spans)
+    assert found > 10000
