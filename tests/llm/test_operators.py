@@ -827,3 +827,14 @@ def test_disguises_are_tried_where_they_may_begin():
         assert spans == [(m.span(), m.lastgroup) for m in pii._DISGUISE.finditer(text)], text
         found += len(spans)
     assert found > 10000
+
+
+def test_hot_blocks_take_little_time():
+    rng = np.random.default_rng(1)
+    e = np.zeros(20000, lines.ENTRY)
+    e["group"], e["step"] = 1 << 20, rng.integers(400, 460, 20000)
+    for c in ("line", "c0", "c1"):
+        e[c] = rng.integers(0, 2**63, 20000)
+    began = time.process_time()
+    lines._near(e)
+    assert time.process_time() - began < 3
