@@ -838,3 +838,15 @@ def test_hot_blocks_take_little_time():
     began = time.process_time()
     lines._near(e)
     assert time.process_time() - began < 3
+
+
+def test_packed_entries_are_given_up():
+    entries = np.zeros(1 << 17, lines.ENTRY)
+    common.packed(entries, entries["line"], 4)
+    tracemalloc.start()
+    try:
+        for _ in range(10):
+            common.packed(entries, entries["line"], 4)
+        assert tracemalloc.get_traced_memory()[0] < entries.nbytes
+    finally:
+        tracemalloc.stop()
