@@ -101,16 +101,19 @@ class Normal:
             g[self.hi[own] - 1 - k] = g[self.lo[own] - 1]
         out = np.zeros((len(own), bits // 64), _U)
         has = np.zeros(BINS * _TOGETHER_LINES, np.int8)
+        count = self.hi - self.lo + 1
+        if len(own) < len(count):  # the runs of all lines follow one another without a gap
+            some = np.zeros(len(count), bool)
+            some[own] = True
+            g = g[: count.sum()][np.repeat(some, count)]
+        edge = np.concatenate([[0], np.cumsum(count[own])])
         for at in range(0, len(own), _TOGETHER_LINES):
-            some = own[at : at + _TOGETHER_LINES]
-            lo, count = self.lo[some] - 1, self.hi[some] - self.lo[some] + 1
-            place = np.repeat(lo - np.cumsum(count) + count, count)
-            place += np.arange(len(place))
-            slot = g[place]
-            slot += np.repeat(np.arange(len(some)), count)
+            to = min(at + _TOGETHER_LINES, len(own))
+            slot = np.repeat(np.arange(to - at), count[own[at:to]])
+            slot += g[edge[at] : edge[to]]
             has[slot] = 1
-            out[at : at + len(some)] = simhashes(has.reshape(BINS, _TOGETHER_LINES), bits, _ROWS)[: len(some)]
-            has[slot] = 0
+            out[at:to] = simhashes(has.reshape(BINS, _TOGETHER_LINES), bits, _ROWS)[: to - at]
+            has[:] = 0
         return out
 
     def texts(self, own: np.ndarray) -> pa.Array:
@@ -180,8 +183,8 @@ def _keyed(batches: Iterator[pa.RecordBatch], n_buckets: int, entry: np.dtype =
     tidy()
 
 
-def _windows(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable, np.ndarray]:
-    """Of entries in the order of their blocks and lengths: their numbers, keys and lines; the distance of rows by the second SimHash, and the most that it may be."""
+def _windows(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Of entries in the order of their blocks and lengths: their numbers, keys and lines; the distance of rows by the second SimHash, the most that it may be, and that SimHash."""
     tag = (entries["group"].astype(_U) << _U(42)) | (entries["step"].astype(_U) << _U(30)) | (entries["line"].astype(_U) >> _U(34))
     order = np.argsort(tag)
     tag, line = tag[order], entries["line"][order]
@@ -189,21 +192,21 @@ def _windows(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, C
     order, key, line = order[new], (tag[new] >> _U(30)).astype(np.int64), line[new]
     x, y = entries["c0"][order], entries["c1"][order]
     most = np.array([c[4] for c in CLASSES], np.uint8)[key >> (LENGTH_BITS + 20)]
-    return order, key, line, lambda i, j: np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]), most
+    return order, key, line, lambda i, j: np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]), most, (x, y)
 
 
 def _near(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines of an equal block and of like length whose second SimHashes differ in few bits, as far as they connect lines; and each line that has more such pairs, beside itself."""
-    _, key, line, apart, most = _windows(entries)
-    a, b, more = linked(key, apart, most, LENGTH_STEPS)
+    _, key, line, apart, most, words = _windows(entries)
+    a, b, more = linked(key, apart, most, LENGTH_STEPS, words)
     a, b = line[np.append(a, more)], line[np.append(b, more)]
     return np.minimum(a, b), np.maximum(a, b)
 
 
 def _across(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All such pairs of lines that aren't known to be of one group."""
-    order, key, line, apart, most = _windows(entries)
-    found = [(line[i], line[j]) for i, j, _ in close_rows(key, apart, most, LENGTH_STEPS, entries["root"][order])]
+    order, key, line, apart, most, words = _windows(entries)
+    found = [(line[i], line[j]) for i, j, _ in close_rows(key, apart, most, LENGTH_STEPS, entries["root"][order], words)]
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*found))

@@ -850,3 +850,35 @@ def test_packed_entries_are_given_up():
         assert tracemalloc.get_traced_memory()[0] < entries.nbytes
     finally:
         tracemalloc.stop()
+
+
+def test_wide_windows_are_compared_within_the_cache():
+    """By words the pairs, their distances and their order are those of whole windows, and of a window little is held at once."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    x, y = (rng.choice(rng.integers(0, 2**63, 40), n).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64)) for _ in range(2))
+    key, label = np.sort(rng.integers(0, 30, n)), rng.integers(0, 3, n)
+    most = np.where(key < 15, 30, 4).astype(np.uint8)
+    apart = lambda i, j: np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j])
+    for some in (None, label):
+        wanted, got = (np.concatenate([np.stack(part) for part in common.close_rows(key, apart, most, 11, some, words)], axis=1) for words in (None, (x, y)))
+        assert len(wanted[0]) > 1000 and np.array_equal(wanted, got)
+    e = np.zeros(9000, lines.ENTRY)
+    e["group"], e["step"] = 1 << 20, 400
+    for c in ("line", "c0", "c1"):
+        e[c] = rng.integers(0, 2**63, 9000)
+    tracemalloc.start()
+    try:
+        lines._near(e)
+        assert tracemalloc.get_traced_memory()[1] < 4 * e.nbytes + (2 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def test_sketches_of_some_lines_are_those_of_each():
+    rng = random.Random(7)
+    x = lines.Normal(pa.array(["\n".join(rng.choice(["", "...", prose(rng, rng.randrange(1, 30))]) for _ in range(200)) for _ in range(5)]))
+    long = np.flatnonzero(x.size >= 20)
+    for own in (long, long[::3], np.arange(0)):
+        for n, bits in ((2, 192), (3, 192), (4, 128)):
+            assert np.array_equal(x.sketches(own, n, bits), np.concatenate([np.zeros((0, bits // 64), np.uint64), *(x.sketches(own[k : k + 1], n, bits) for k in range(len(own)))]))
