@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.analysis import Analyzer, as_text, query_tokens
-from ..functions.stemming import stem, stemmer
+from ..functions.stemming import stemmer
+from .inverting import counted, dictionary, from_documents, inverted, raw_dictionary
 
 
 @dataclass(frozen=True)
@@ -56,12 +57,13 @@ def resolve_fields(df: DataFrame, id_column: str, columns: Iterable[str]) -> tup
 
 @dataclass(frozen=True)
 class FtsIndex:
-    """docs: name, len, field_lens. postings: term, raw_term, name, fieldid, tf, flen (the field's length in that document). Both are lazy; the dictionaries and the statistics follow from them. Names are unique."""
+    """docs: name, len, field_lens. forward: the same with the postings of each document as arrays. postings: term, raw_term, name, fieldid, tf, flen (the field's length in that document). All are lazy; the dictionaries and the statistics follow from them. Names are unique."""
 
     spark: SparkSession
     analyzer: Analyzer
     fields: tuple[str, ...]
     docs: DataFrame
+    forward: DataFrame
     postings: DataFrame
     layered: bool = True
     incremental: bool = True
@@ -78,11 +80,11 @@ class FtsIndex:
         stemmer(analyzer.stemmer)
         if check_ids:
             _check_ids(df.select(F.col(f"`{id_column}`").alias("name")), incremental)
-        docs, postings = _analysed(df, id_column, fields, analyzer)
-        return cls(df.sparkSession, analyzer, fields, docs, postings, layered, incremental)
+        docs, forward = _analysed(df, id_column, fields, analyzer)
+        return cls(df.sparkSession, analyzer, fields, docs, forward, from_documents(forward), layered, incremental)
 
     def segment(self, df: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
-        """Documents and postings of further rows."""
+        """Documents of further rows, without and with their postings."""
         return _analysed(df, id_column, self.fields, self.analyzer)
 
     def insert(self, df: DataFrame, id_column: str) -> FtsIndex:
@@ -92,14 +94,15 @@ class FtsIndex:
         _check_ids(names, True)
         if names.join(self.docs.select("name"), "name", "left_semi").limit(1).count():
             raise ValueError("Constraint Error: an inserted id is in the index already")
-        docs, postings = self.segment(df, id_column)
-        return replace(self, docs=self.docs.unionByName(docs, allowMissingColumns=True), postings=self.postings.unionByName(postings), side=None)
+        docs, forward = self.segment(df, id_column)
+        return replace(self, docs=self.docs.unionByName(docs, allowMissingColumns=True), forward=self.forward.unionByName(forward), postings=self.postings.unionByName(from_documents(forward)), side=None)
 
     def delete(self, ids: DataFrame) -> FtsIndex:
         """The index without the documents whose ids the frame's first column has; unknown and null ids do nothing."""
         self._maintained()
         gone = ids.select(F.col(f"`{ids.columns[0]}`").alias("name")).distinct()
-        return replace(self, docs=self.docs.join(gone, "name", "left_anti"), postings=self.postings.join(gone, "name", "left_anti"), side=None)
+        docs, forward, postings = (x.join(gone, "name", "left_anti") for x in (self.docs, self.forward, self.postings))
+        return replace(self, docs=docs, forward=forward, postings=postings, side=None)
 
     def update(self, df: DataFrame, id_column: str) -> FtsIndex:
         """Rows in place of those of the same ids."""
@@ -111,13 +114,13 @@ class FtsIndex:
 
     def persist(self) -> FtsIndex:
         """The same index with documents, postings and dictionaries kept in the executors' memory and disks."""
-        out = replace(self, docs=self.docs.persist(), postings=self.postings.persist())
+        out = replace(self, docs=self.docs.persist(), forward=self.forward.persist(), postings=self.postings.persist())
         out.__dict__["dict"] = out.dict.persist()
         out.__dict__["raw_dict"] = out.raw_dict.persist()
         return out
 
     def unpersist(self) -> None:
-        for df in (self.docs, self.postings, self.dict, self.raw_dict):
+        for df in (self.docs, self.forward, self.postings, self.dict, self.raw_dict):
             df.unpersist()
 
     @cached_property
@@ -125,14 +128,14 @@ class FtsIndex:
         """term, df: documents that have the term in any field."""
         if self.side:
             return self.side.dict
-        return self.postings.groupBy("term").agg(F.count_distinct("name").alias("df"))
+        return dictionary(inverted(self.forward))
 
     @cached_property
     def raw_dict(self) -> DataFrame:
         """raw_term, term, df of each pair of a raw token and its stem."""
         if self.side:
             return self.side.raw_dict
-        return self.postings.groupBy("raw_term", "term").agg(F.count_distinct("name").alias("df"))
+        return raw_dictionary(inverted(self.forward))
 
     @cached_property
     def stats(self) -> Stats:
@@ -170,7 +173,7 @@ class FtsIndex:
         if self.side and self.side.grams is not None:
             return self.side.grams
         some = self.term_stats().where((F.col("gram_count") > 0) & ~F.col("term").rlike("^[0-9]+$"))
-        return some.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("gram_count").cast("int")), lambda i: F.substring("term", i, F.lit(3)))).alias("gram"), "term", "df", "term_len")
+        return some.select(F.explode_outer(F.transform(F.sequence(F.lit(1), F.col("gram_count").cast("int")), lambda i: F.substring("term", i, F.lit(3)))).alias("gram"), "term", "df", "term_len")
 
     def term_prefixes(self) -> DataFrame:
         """prefix_len, prefix, raw_term, term, df: the first two and three characters of the raw terms that have them."""
@@ -198,7 +201,7 @@ def _check_ids(names: DataFrame, not_null: bool) -> None:
 
 
 def _analysed(df: DataFrame, id_column: str, fields: tuple[str, ...], analyzer: Analyzer) -> tuple[DataFrame, DataFrame]:
-    """Documents and postings of a table, which is read once for either."""
+    """The documents of a table, without and with their postings; the table is read once for either."""
     missing = [c for c in (id_column, *fields) if c not in df.columns]
     if missing:
         raise ValueError(f"Table does not have a column named '{missing[0]}'!")
@@ -206,11 +209,4 @@ def _analysed(df: DataFrame, id_column: str, fields: tuple[str, ...], analyzer:
     rows = df.select(name, F.array(*(analyzer.tokens(as_text(df, c)) for c in fields)).alias("fields"))
     lens = F.transform("fields", lambda t: F.size(t).cast("long"))
     docs = rows.select("name", lens.alias("field_lens")).select("name", F.aggregate("field_lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("len"), "field_lens")
-    each = rows.select("name", F.posexplode("fields").alias("fieldid", "tokens")).select("name", "fieldid", F.size("tokens").cast("long").alias("flen"), F.explode("tokens").alias("raw_term"))
-    counts = each.groupBy("name", "fieldid", "flen", "raw_term").agg(F.count("*").alias("tf"))
-    if analyzer.stemmer == "none":
-        postings = counts.withColumn("term", F.col("raw_term"))
-    else:  # each distinct token is stemmed once, in Arrow batches, not each occurrence
-        stems = each.select("raw_term").distinct().select("raw_term", stem(F.col("raw_term"), analyzer.stemmer).alias("term"))
-        postings = counts.join(stems, "raw_term").where("term <> ''")
-    return docs, postings.select("term", "raw_term", "name", "fieldid", "tf", "flen")
+    return docs, counted(rows, len(fields), analyzer.stemmer)

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.analysis import Analyzer
 from ..operators.index import FtsIndex, Side, _check_ids, stats_of
-from ..operators.numbering import numbered
+from ..operators.inverting import dictionary, from_blocks, inverted, raw_dictionary
+from ..operators.numbering import numbered, staged
 
 
 @dataclass(frozen=True)
@@ -71,22 +72,24 @@ class IndexStore:
         df.write.parquet(f"{self.path}/{path}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{path}")
 
-    def _write_segment(self, docs: DataFrame, postings: DataFrame, m: Manifest | None, n_fields: int, layered: bool, known: DataFrame | None = None) -> tuple[tuple, dict, int, int]:
-        """A segment and all that is derived from its postings: the step of the manifest, the tables' schemas, the next numbers. known: the terms that have numbers already."""
+    def _write_segment(self, forward: DataFrame, m: Manifest | None, n_fields: int, layered: bool, known: DataFrame | None = None) -> tuple[tuple, dict, int, int]:
+        """A segment and all that is derived from its documents, whose texts are read once: the step of the manifest, the tables' schemas, the next numbers. known: the terms that have numbers already."""
         folder = f"segments/{uuid.uuid4()}"
         first_doc, first_term = (m.next_docid, m.next_termid) if m else (0, 0)
-        kept = self._put(numbered(docs.select("name", "len", "field_lens"), [F.col("name")], "docid", first_doc), f"{folder}/docs", "name")
-        p = self._put(postings, f"{folder}/postings", "term", "raw_term", "fieldid", "name")
-        df = F.count_distinct("name").alias("df")
-        terms = p.groupBy("term").agg(df)
-        new = terms if known is None else terms.join(known.select("term"), "term", "left_anti")
-        ids = numbered(new, [F.col("term")], "termid", first_term)
-        if known is not None:
-            ids = ids.unionByName(terms.join(known.select("term", "termid"), "term"))
-        side = FtsIndex(self.spark, Analyzer(stemmer="none"), (), kept, p)
-        side.__dict__["dict"] = self._put(ids.select("term", "termid", "df"), f"{folder}/dict", "term")
-        side.__dict__["raw_dict"] = self._put(p.groupBy("raw_term", "term").agg(df), f"{folder}/raw_dict", "raw_term", "term")
-        tables = {"docs": kept, "postings": p, "dict": side.dict, "raw_dict": side.raw_dict}
+        forward = self._put(forward, f"{folder}/forward")
+        kept = self._put(numbered(forward.select("name", "len", "field_lens"), [F.col("name")], "docid", first_doc), f"{folder}/docs")  # in order already
+        p = self._put(inverted(forward), f"{folder}/postings", "term", "raw")
+        terms = dictionary(p)
+        order = ()
+        if known is None:
+            ids = numbered(terms, [F.col("term")], "termid", first_term)
+        else:
+            terms, order = staged(terms.join(known.select("term", "termid"), "term", "left")), ("term",)
+            ids = numbered(terms.where("termid is null").drop("termid"), [F.col("term")], "termid", first_term).unionByName(terms.where("termid is not null"))
+        side = FtsIndex(self.spark, Analyzer(stemmer="none"), (), kept, forward, p)
+        side.__dict__["dict"] = self._put(ids.select("term", "termid", "df"), f"{folder}/dict", *order)
+        side.__dict__["raw_dict"] = self._put(raw_dictionary(p), f"{folder}/raw_dict", "raw_term", "term")
+        tables = {"docs": kept, "forward": forward, "postings": p, "dict": side.dict, "raw_dict": side.raw_dict}
         if layered:
             tables["lens"] = self._put(side.term_stats(), f"{folder}/lens", "term_len", "term")
             tables["grams"] = self._put(side.term_grams(), f"{folder}/grams", "gram", "term")
@@ -100,7 +103,7 @@ class IndexStore:
         if self.exists() and not overwrite:
             raise ValueError(f"a FTS index already exists at '{self.path}'. Supply overwrite=True to overwrite, or drop() it")
         index = FtsIndex.build(df, id_column, *columns, **options)
-        step, schemas, docid, termid = self._write_segment(index.docs, index.postings, None, len(index.fields), index.layered)
+        step, schemas, docid, termid = self._write_segment(index.forward, None, len(index.fields), index.layered)
         analyzer = {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(index.analyzer).items()}
         next_version = (self._versions() or [-1])[-1] + 1
         self._commit(Manifest(next_version, analyzer, index.fields, index.layered, index.incremental, (step,), schemas, docid, termid))
@@ -118,14 +121,16 @@ class IndexStore:
     def load(self, version: int | None = None) -> FtsIndex:
         """The index of a version. Statistics are sums over the manifest; dictionaries are sums over the segments, of which what tombstones took away is subtracted. Nothing is tokenized or counted again."""
         m = self.manifest(version)
-        docs = postings = None
+        if "forward" not in m.schemas:
+            raise ValueError(f"the FTS index at '{self.path}' was written by an older version. Build it anew")
+        live: list[DataFrame] = []  # docs, forward, postings
         for kind, folder, *_ in m.steps:  # tombstones are for what came before them
             if kind == "segment":
-                d, p = self._read(m, folder, "docs"), self._read(m, folder, "postings")
-                docs, postings = (d, p) if docs is None else (docs.unionByName(d), postings.unionByName(p))
+                more = [self._read(m, folder, "docs"), self._read(m, folder, "forward"), from_blocks(self._read(m, folder, "postings"))]
+                live = [x.unionByName(y) for x, y in zip(live, more)] if live else more
             else:
-                gone = self.spark.read.schema(T.StructType([docs.schema["name"]])).parquet(f"{self.path}/{folder}/names")
-                docs, postings = docs.join(gone, "name", "left_anti"), postings.join(gone, "name", "left_anti")
+                gone = self.spark.read.schema(T.StructType([live[0].schema["name"]])).parquet(f"{self.path}/{folder}/names")
+                live = [x.join(gone, "name", "left_anti") for x in live]
         options = dict(m.analyzer)
         if isinstance(options["stopwords"], list):
             options["stopwords"] = tuple(options["stopwords"])
@@ -148,7 +153,7 @@ class IndexStore:
                 grams = grams.join(terms.select("term", "df"), "term").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("gram", "term", "df", "term_len")
                 prefixes = reduce(DataFrame.unionByName, (p.drop("df") for p in each["prefixes"])).distinct().join(raw, ["raw_term", "term"])
             side = Side(stats, terms, raw, grams, None, prefixes)
-        return FtsIndex(self.spark, Analyzer(**options), m.fields, docs, postings, m.layered, m.incremental, side)
+        return FtsIndex(self.spark, Analyzer(**options), m.fields, *live, m.layered, m.incremental, side)
 
     def _next(self, m: Manifest, steps: list[tuple], schemas: dict | None = None, docid: int | None = None, termid: int | None = None) -> FtsIndex:
         self._commit(replace(m, version=m.version + 1, steps=(*m.steps, *steps), schemas=schemas or m.schemas, next_docid=m.next_docid if docid is None else docid, next_termid=m.next_termid if termid is None else termid))
@@ -160,7 +165,7 @@ class IndexStore:
         _check_ids(names, True)
         if names.join(live.docs.select("name"), "name", "left_semi").limit(1).count():
             raise ValueError("Constraint Error: an inserted id is in the index already")
-        return self._write_segment(*live.segment(df, id_column), m, len(m.fields), m.layered, dict_)
+        return self._write_segment(live.segment(df, id_column)[1], m, len(m.fields), m.layered, dict_)
 
     def _deleted(self, m: Manifest, live: FtsIndex, ids: DataFrame) -> tuple:
         """The names that go, and what the dictionaries and statistics lose by them."""
@@ -168,10 +173,9 @@ class IndexStore:
         folder = f"tombstones/{uuid.uuid4()}"
         asked = ids.select(F.col(f"`{ids.columns[0]}`").alias("name").cast(live.docs.schema["name"].dataType)).where("name is not null").distinct()
         gone = self._put(live.docs.join(asked, "name", "left_semi").select("name"), f"{folder}/names")
-        lost = live.postings.join(gone, "name", "left_semi")
-        df = F.count_distinct("name").alias("df")
-        self._put(lost.groupBy("term").agg(df).join(live.dict.select("term", "termid"), "term").select("term", "termid", "df"), f"{folder}/dict", "term")
-        self._put(lost.groupBy("raw_term", "term").agg(df), f"{folder}/raw_dict", "raw_term", "term")
+        lost = staged(inverted(live.forward.join(gone, "name", "left_semi")).groupBy("term", "raw").agg(F.sum("df").alias("df"), F.sum("raw_df").alias("raw_df")))
+        self._put(dictionary(lost).join(live.dict.select("term", "termid"), "term").select("term", "termid", "df"), f"{folder}/dict", "term")
+        self._put(raw_dictionary(lost), f"{folder}/raw_dict", "raw_term", "term")
         r = live.docs.join(gone, "name", "left_semi").agg(F.count("*"), *(F.coalesce(F.sum(F.col("field_lens")[i]), F.lit(0)) for i in range(len(m.fields)))).first()
         return "tombstones", folder, r[0], tuple(r[1:])
 
@@ -198,7 +202,7 @@ class IndexStore:
         """One segment in place of all segments and tombstones; older versions stay readable until vacuum(). Documents and terms are numbered anew."""
         m = self.manifest()
         live = self.load(m.version)
-        step, schemas, docid, termid = self._write_segment(live.docs, live.postings, None, len(m.fields), m.layered)
+        step, schemas, docid, termid = self._write_segment(live.forward, None, len(m.fields), m.layered)
         self._commit(replace(m, version=m.version + 1, steps=(step,), schemas=schemas, next_docid=docid, next_termid=termid))
         return self.load()
 

@@ -237,3 +237,30 @@ def test_struct_columns_and_odd_names(spark):
     df = spark.sql("SELECT 1 AS id, named_struct('duck', 42) AS `odd name`, 'x' AS document")
     index = FtsIndex.build(df, "id", "odd name", "document", **PLAIN)
     assert set(got(match_scores(index, "duck"))) == {1}
+
+
+def test_postings_are_counted_where_the_text_is(spark):
+    rows = [(1, "Running runs", "ran the runner"), (2, "run running, runs", None), (None, "", "RUNS run"), (4, "of", "the")]
+    df = spark.createDataFrame(rows, "id int, title string, body string")
+    index = FtsIndex.build(df, "id", "title", "body")  # stemmed: tokens used to be joined with their stems, each row with its document's tokens
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert "Generate" not in index.forward._jdf.queryExecution().executedPlan().toString()
+    want = {("run", "running", 1, 0, 1, 2), ("run", "runs", 1, 0, 1, 2), ("ran", "ran", 1, 1, 1, 2), ("runner", "runner", 1, 1, 1, 2), ("run", "run", 2, 0, 1, 3), ("run", "running", 2, 0, 1, 3), ("run", "runs", 2, 0, 1, 3), ("run", "runs", None, 1, 1, 2), ("run", "run", None, 1, 1, 2)}
+    assert {tuple(r) for r in index.postings.select("term", "raw_term", "name", "fieldid", "tf", "flen").collect()} == want
+    assert {r["term"]: r["df"] for r in index.dict.collect()} == {"run": 3, "ran": 1, "runner": 1}
+    assert {(r["raw_term"], r["term"]): r["df"] for r in index.raw_dict.collect()} == {("running", "run"): 2, ("runs", "run"): 3, ("run", "run"): 2, ("ran", "ran"): 1, ("runner", "runner"): 1}
+    assert {r["name"]: r["len"] for r in index.docs.collect()} == {1: 4, 2: 3, None: 2, 4: 0}
+
+
+def test_blocks_hold_what_documents_hold(spark):
+    from quillsearch.operators import inverting
+
+    assert list(inverting.pieces([0, 3, 9, 0, 2, 2, 2], 5)) == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    rows = [(i, " ".join(f"w{'abc'[i % 3]}{'xyz'[j % 3]} runs" for j in range(i))) for i in range(30)]
+    for language in ("none", "porter"):
+        index = FtsIndex.build(spark.createDataFrame(rows, "id int, body string").repartition(3), "id", "body", stemmer=language, stopwords="none")
+        every = ["term", "raw_term", "name", "fieldid", "tf", "flen"]
+        blocks = inverting.from_blocks(inverting.inverted(index.forward)).select(*every)
+        assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, index.postings.select(*every).collect()))
+        assert {r["term"]: r["df"] for r in index.dict.collect()}["runs" if language == "none" else "run"] == 29

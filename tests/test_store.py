@@ -59,3 +59,16 @@ def test_sql_surface(spark):
     register_index(FtsIndex.build(spark.createDataFrame([(1, "red red fox")], SCHEMA), "id", "body", stemmer="none", stopwords="none"), "t")
     assert spark.sql("SELECT count(*) AS n FROM t_terms WHERE term = 'red'").first()["n"] == 2
     assert {(r["prefix_len"], r["prefix"]) for r in spark.sql("SELECT * FROM t_term_prefixes").collect()} == {(2, "re"), (3, "red"), (2, "fo"), (3, "fox")}
+
+
+def test_a_segment_moves_no_single_postings(spark, tmp_path):
+    """What is shuffled and counted are blocks of postings: few rows for many documents that have the same words."""
+    store = IndexStore(spark, str(tmp_path / "index"))
+    rows = [(i, "red fox runs running") for i in range(500)]
+    store.build(spark.createDataFrame(rows, SCHEMA).coalesce(1), "id", "body", stopwords="none", incremental=True)
+    folder = store.manifest().steps[0][1]
+    assert spark.read.parquet(f"{store.path}/{folder}/postings").count() == 4  # before: 2000
+    index = store.delete(spark.createDataFrame([(i,) for i in range(100)], "id int"))
+    assert {r["term"]: r["df"] for r in index.dict.collect()} == {"red": 400, "fox": 400, "run": 400}
+    assert {r["raw_term"]: r["df"] for r in index.raw_dict.collect()} == {"red": 400, "fox": 400, "runs": 400, "running": 400}
+    assert index.postings.count() == 1600 and store.compact().postings.count() == 1600
