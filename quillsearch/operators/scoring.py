@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.stemming import stem
 from .index import FtsIndex
+from .matching import best_candidates
 from .numbering import numbered
 
 #: Terms up to which a search is a list in the filter that reaches the scan of the postings.
 LISTED = 1000
+#: Terms of all queries together up to which a batch of them is sent to where the documents are; more are joined with the postings.
+SENT = 200_000
 
 _SELECTED = "leaf int, term string, raw string, fieldid int, x double, m bigint, idf double, w double, c double, d double"
 
@@ -143,8 +146,10 @@ def ranked(found: DataFrame, top_k: int | None) -> DataFrame:
 def match_batch(index: FtsIndex, queries: DataFrame, id_column: str, query_column: str, top_k: int = 10, fields: str | None = None, decimals: int | None = None, **options) -> DataFrame:
     """(query_id, docname, score, rank): the best documents for each row of a table of queries, all queries in one job.
 
-    The queries' tokens are a table that is joined with the dictionary and the postings; nothing of it is collected. A null query, or
-    one without a token that is in the dictionary, has no rows. decimals: scores are rounded before they are ranked.
+    Up to SENT terms of queries go to the documents, which are scored where they are, and of each task only those come back that may be
+    among the best: a document that has common terms of many queries would otherwise be a row for each. More terms are a table that is
+    joined with the postings. A null query, or one without a token that is in the dictionary, has no rows. decimals: scores are rounded
+    before they are ranked.
     """
     s = Scoring(**options)
     s.check(index.fields)
@@ -155,18 +160,27 @@ def match_batch(index: FtsIndex, queries: DataFrame, id_column: str, query_colum
     picked = asked.join(index.dict, "term").select("query_id", "term", idf_.alias("idf"))
     own = parse_fields(index, fields)
     named = [(f, index.fields[f], stats.avg_field_lens[f]) for f in own]
-    lookup = lambda x: F.element_at(F.create_map(*(F.lit(v) for f, name, mean in named for v in (f, float(x(name, mean))))), F.col("fieldid")) if named else F.lit(None).cast("double")
     b_of = lambda name: float((s.field_b or {}).get(name, s.b))
-    w, c, d = lookup(lambda name, _: (s.field_weights or {}).get(name, 1.0)), lookup(lambda name, _: 1 - b_of(name)), lookup(lambda name, mean: b_of(name) / mean if mean else 0.0)
-    p = index.postings.where(F.col("fieldid").isin(*own) if own else F.lit(False)).join(picked, "term").select("query_id", "name", "term", "fieldid", "idf", w.alias("w"), (F.col("tf") / (c + d * F.col("flen"))).alias("x"))
-    k = float(s.k)
-    saturated = F.coalesce(F.try_divide(F.col("p") * (k + 1), F.col("p") + k), F.lit(0.0))
-    if s.model == "bm25f":
-        found = p.groupBy("query_id", "name", "term", "idf").agg(F.sum(F.col("w") * F.col("x")).alias("p")).groupBy("query_id", "name").agg(F.sum(F.col("idf") * saturated).alias("score"))
+    weights = {f: (float((s.field_weights or {}).get(name, 1.0)), 1 - b_of(name), b_of(name) / mean if mean else 0.0) for f, name, mean in named}
+    sent = picked.limit(SENT + 1).toArrow()
+    if sent.num_rows <= SENT:
+        found = best_candidates(index.forward, sent, picked.schema["query_id"].dataType.simpleString(), weights, s.model, float(s.k), float(s.tie_breaker), int(top_k), decimals)
     else:
-        by_field = p.groupBy("query_id", "name", "fieldid", "term", "idf", "w").agg(F.sum("x").alias("p")).groupBy("query_id", "name", "fieldid").agg((F.max("w") * F.sum(F.col("idf") * saturated)).alias("f"))
-        found = by_field.groupBy("query_id", "name").agg((F.max("f") + float(s.tie_breaker) * (F.sum("f") - F.max("f"))).alias("score"))
+        found = _joined(index, picked, weights, s)
     if decimals is not None:
         found = found.withColumn("score", F.round("score", decimals))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("name").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= int(top_k)).select("query_id", F.col("name").alias("docname"), "score", "rank")
+
+
+def _joined(index: FtsIndex, picked: DataFrame, weights: dict[int, tuple[float, float, float]], s: Scoring) -> DataFrame:
+    """(query_id, name, score) of all documents that each query matches."""
+    lookup = lambda i: F.element_at(F.create_map(*(F.lit(v) for f, x in weights.items() for v in (f, x[i]))), F.col("fieldid")) if weights else F.lit(None).cast("double")
+    w, c, d = lookup(0), lookup(1), lookup(2)
+    p = index.postings.where(F.col("fieldid").isin(*weights) if weights else F.lit(False)).join(picked, "term").select("query_id", "name", "term", "fieldid", "idf", w.alias("w"), (F.col("tf") / (c + d * F.col("flen"))).alias("x"))
+    k = float(s.k)
+    saturated = F.coalesce(F.try_divide(F.col("p") * (k + 1), F.col("p") + k), F.lit(0.0))
+    if s.model == "bm25f":
+        return p.groupBy("query_id", "name", "term", "idf").agg(F.sum(F.col("w") * F.col("x")).alias("p")).groupBy("query_id", "name").agg(F.sum(F.col("idf") * saturated).alias("score"))
+    by_field = p.groupBy("query_id", "name", "fieldid", "term", "idf", "w").agg(F.sum("x").alias("p")).groupBy("query_id", "name", "fieldid").agg((F.max("w") * F.sum(F.col("idf") * saturated)).alias("f"))
+    return by_field.groupBy("query_id", "name").agg((F.max("f") + float(s.tie_breaker) * (F.sum("f") - F.max("f"))).alias("score"))

@@ -264,3 +264,22 @@ def test_blocks_hold_what_documents_hold(spark):
         blocks = inverting.from_blocks(inverting.inverted(index.forward)).select(*every)
         assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, index.postings.select(*every).collect()))
         assert {r["term"]: r["df"] for r in index.dict.collect()}["runs" if language == "none" else "run"] == 29
+
+
+def test_a_batch_is_scored_where_the_documents_are(spark, monkeypatch):
+    from quillsearch.operators import scoring
+
+    words = "red blue green fox dog the of".split()
+    rows = [(i, " ".join(words[j % 7] for j in range(i % 5, i)), None if i % 4 == 0 else " ".join(words[(i * j) % 7] for j in range(9))) for i in range(80)]
+    index = FtsIndex.build(spark.createDataFrame(rows, "id int, title string, body string").repartition(3), "id", "title", "body", **PLAIN)
+    asked = spark.createDataFrame([("a", "the red fox"), ("b", "of the dog dog"), ("c", "nothing"), ("d", None), ("e", "green")], "q string, words string")
+    ways = [{"decimals": 6}, {"field_weights": {"title": 0}, "k": 0}, {"scoring_model": "best_fields", "tie_breaker": 0.3, "field_b": {"title": 0.2}, "field_weights": {"body": 2}}, {"fields": "title"}, {"fields": "title", "field_weights": {"title": 0}}, {"fields": ""}]
+    found = []
+    for most in (scoring.SENT, 0):
+        monkeypatch.setattr(scoring, "SENT", most)
+        found.append([[(*r[:2], pytest.approx(r["score"], abs=1e-9), r["rank"]) for r in sorted(scoring.match_batch(index, asked, "q", "words", top_k=7, **{"decimals": 9} | way).collect())] for way in ways])
+        plan = scoring.match_batch(index, asked, "q", "words")._jdf.queryExecution().executedPlan().toString()
+        assert ("Join" in plan) == (most == 0)  # before: a row for each document and query, always
+    assert [len(x) for x in found[0]] == [21, 21, 21, 21, 21, 0]
+    assert [[x[:2] + x[3:] for x in way] for way in found[0]] == [[x[:2] + x[3:] for x in way] for way in found[1]]
+    assert [[x[2].expected for x in way] for way in found[0]] == [[x[2] for x in way] for way in found[1]]
