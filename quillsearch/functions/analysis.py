@@ -25,8 +25,12 @@ _EMOJI = (
 _SINGLE = f"[\\p{{IsHan}}\\p{{IsHiragana}}{_EMOJI}]"
 _WORD = f"[[\\p{{IsAlphabetic}}\\p{{Nd}}\\p{{IsKatakana}}\\x{{30FC}}\\x{{FF70}}]&&[^\\p{{IsHan}}\\p{{IsHiragana}}{_EMOJI}\\p{{P}}\\s]]"
 _MORE = f"(?:{_WORD}|\\p{{M}})"
-#: Words of any script; characters of scripts without spaces, and emoji, by themselves.
-STANDARD_TOKEN = f"{_SINGLE}|{_WORD}(?:{_MORE}|['\\x{{2019}}._](?={_MORE}))*"
+_ASCII, _OTHER = "[A-Za-z0-9]", "(?=[^\\x00-\\x7F])"
+#: Words of any script; characters of scripts without spaces, and emoji, by themselves. Of ASCII only letters and digits are in the
+#: classes, which take long to test, so those are tried for other characters alone; what was taken is never given back.
+STANDARD_TOKEN = f"(?:{_ASCII}++|{_OTHER}{_WORD})(?:{_ASCII}++|{_OTHER}{_MORE}|['\\x{{2019}}._](?={_ASCII}|{_OTHER}{_MORE}))*+|{_OTHER}{_SINGLE}"
+#: The same by the classes alone.
+STANDARD_TOKEN_PLAIN = f"{_SINGLE}|{_WORD}(?:{_MORE}|['\\x{{2019}}._](?={_MORE}))*"
 
 
 @cache

@@ -283,3 +283,27 @@ def test_a_batch_is_scored_where_the_documents_are(spark, monkeypatch):
     assert [len(x) for x in found[0]] == [21, 21, 21, 21, 21, 0]
     assert [[x[:2] + x[3:] for x in way] for way in found[0]] == [[x[:2] + x[3:] for x in way] for way in found[1]]
     assert [[x[2].expected for x in way] for way in found[0]] == [[x[2] for x in way] for way in found[1]]
+
+
+def test_standard_tokens_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from quillsearch.functions.analysis import STANDARD_TOKEN, STANDARD_TOKEN_PLAIN, tokenize_standard
+
+    long = spark.range(1).select(tokenize_standard(F.repeat(F.lit("aéb"), 50_000)).alias("t")).first()["t"]  # before: a stack overflow
+    assert [len(t) for t in long] == [150_000]
+    marks = [chr(c) for c in (*range(0x500), *range(0x900, 0x980), *range(0x2000, 0x2070), *range(0x2300, 0x2400), *range(0x3000, 0x3110), 0x4E00, 0xFF70, 0x1F600)]
+    rows = spark.createDataFrame([(f"a{c}b {c} {c}{c}'{c}._x1_{c}.é{c}",) for c in marks], "s string")
+    both = rows.select(*(F.regexp_extract_all("s", F.lit(p), 0).alias(n) for n, p in (("fast", STANDARD_TOKEN), ("plain", STANDARD_TOKEN_PLAIN))))
+    assert both.where("fast <> plain or (fast is null) <> (plain is null)").count() == 0
+
+
+def test_texts_are_taken_apart_once(spark, tmp_path):
+    from quillsearch.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "red fox red"), (2, None), (3, "...")], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, most in (("tokenize_standard", 1), ("tokenize_regex", 0)):
+        df = QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == most and plan.count("split(") == 1 - most  # before: three times
+        assert {r["token"]: r["n"] for r in df.collect()} == {"red": 2, "fox": 1}
